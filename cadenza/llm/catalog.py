@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cadenza.llm.language import language_faults
 from cadenza.llm.runs import repeated_runs
 from cadenza.sources.tables import table
 
@@ -10,6 +11,10 @@ def p6_found(spark, sf_dir):
     return repeated_runs(table(spark, sf_dir, "timeline_segment")).select("workspace_id", "first_idx", "last_idx")
 
 
+def p3_found(spark, sf_dir):
+    return language_faults(table(spark, sf_dir, "timeline_segment")).select("seg_uid", "kind", "lang")
+
+
 P6_FOUND = """WITH usable AS (
   SELECT DISTINCT workspace_id, idx, seg_uid,
          'speaker_' || lpad(regexp_extract(lower(speaker), '([0-9]+)', 1), 2, '0') AS speaker,
@@ -21,7 +26,7 @@ numbered AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT workspace_id, arg_min(idx, s * 1000000 + idx) AS first_idx, arg_max(idx, s * 1000000 + idx) AS last_idx
 FROM numbered GROUP BY workspace_id, g HAVING count(*) >= 2"""
 
-QUERIES = {"p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
 ORACLE = {"p6_found": P6_FOUND}
 
 
