@@ -195,16 +195,17 @@ def fit_languages(df: DataFrame, text: str = "target_text", label: str = "target
 def with_languages(df: DataFrame, model: LanguageModel, text: str, batch_columns: list[str]) -> DataFrame:
     """``batch_columns`` plus ``langs`` (codes of the text's segments, joined by commas, '' if none), ``confidence`` (least
     over segments) and ``segments`` (array of language, confidence, text)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.owner, model.reject))
     kept = df.select(*batch_columns, F.col(text).alias("_t"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_t")
 
     def run(batches):
         import pyarrow as pa
 
+        here = LanguageModel(*shared.value)
         for b in batches:
             texts = b.column(len(batch_columns)).to_pylist()
-            found = segment_languages(shared.value, texts)
+            found = segment_languages(here, texts)
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(batch_columns))]
                 + [
