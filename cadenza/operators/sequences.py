@@ -99,3 +99,17 @@ def chunked_runs(
     starts = F.coalesce(F.col("_starts"), F.col("_first_starts"))
     opened = F.last(F.when(starts, here), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return joined.withColumn("run", F.coalesce(opened, F.col("_carry"))).drop("_b", "_row", "_prev", "_starts", "_first_starts", "_carry")
+
+
+def with_previous(df: DataFrame, keys: list[str], order: list[str], payload: list[str], width: int = 900_000) -> DataFrame:
+    """Add ``previous``, the struct of ``order + payload`` of the row before within the key (null for its first row)."""
+    rows = df.withColumn("_b", bucket_of(F.col(order[0]), width)).withColumn("_row", F.struct(*order, *payload)).repartition(*keys, "_b")
+    carry = (
+        rows.groupBy(*keys, "_b")
+        .agg(F.max_by("_row", F.struct(*order)).alias("_last"))
+        .withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")))
+        .select(*[F.col(k).alias(f"r_{k}") for k in [*keys, "_b"]], "_carry")
+    )
+    joined = rows.join(carry, null_safe(rows, carry, [*keys, "_b"])).drop(*[f"r_{k}" for k in [*keys, "_b"]])
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    return joined.withColumn("previous", F.coalesce(F.lag("_row").over(inside), F.col("_carry"))).drop("_b", "_row", "_carry")
