@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from cadenza.llm.language import language_faults
 from cadenza.llm.pairs import main_defect
-from cadenza.llm.runs import repeated_runs
+from cadenza.llm.runs import event_runs, repeated_runs
+from cadenza.llm.transcripts import clean_turns, turn_bounds
 from cadenza.sources.tables import table
 
 
@@ -12,6 +13,14 @@ def p6_found(spark, sf_dir):
     return repeated_runs(table(spark, sf_dir, "timeline_segment")).select("workspace_id", "first_idx", "last_idx")
 
 
+def p2_found(spark, sf_dir):
+    return turn_bounds(table(spark, sf_dir, "transcript_segment"), table(spark, sf_dir, "speaker_profile"))
+
+
+def p2_clean_turns(spark, sf_dir):
+    return clean_turns(table(spark, sf_dir, "transcript_segment"), table(spark, sf_dir, "speaker_profile"))
+
+
 def p3_found(spark, sf_dir):
     return language_faults(table(spark, sf_dir, "timeline_segment")).select("seg_uid", "kind", "lang")
 
@@ -31,7 +40,7 @@ numbered AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT workspace_id, arg_min(idx, s * 1000000 + idx) AS first_idx, arg_max(idx, s * 1000000 + idx) AS last_idx
 FROM numbered GROUP BY workspace_id, g HAVING count(*) >= 2"""
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
 ORACLE = {"p6_found": P6_FOUND}
 
 

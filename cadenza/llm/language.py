@@ -24,9 +24,10 @@ SPELLINGS = {
 }
 OTHER_CODES = ["it", "nl", "sv", "da", "no", "nb", "fi", "pl", "cs", "sk", "hu", "ro", "bg", "el", "tr", "uk", "sr", "hr", "ar", "he", "fa", "hi", "ja", "ko", "zh", "vi", "th", "id", "ca", "gl", "eu", "la"]
 
-BITS = 16
+BITS = 15
 _SPLIT = re.compile(r"(?<=[.?!…])[\"”»’']*\s+|\s+[—–]\s+|[\n;]+")
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
+_QUOTE = re.compile("[“«„\"]")
 _SPACE = re.compile(r"[^\w\x00'’]+|[\d_]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _LONG = re.compile(r"[^\W\d_]{2,}")
@@ -44,8 +45,10 @@ def label_language(label: Column) -> Column:
 
 def clauses(text: str) -> list[str]:
     """Clauses of a text. Quoted titles are left out, unless nothing else is there."""
-    rest = _QUOTED.sub(" ", text)
-    return [c for c in _SPLIT.split(rest if _WORD.search(rest) else text) if c and _WORD.search(c)]
+    if _QUOTE.search(text):
+        rest = _QUOTED.sub(" ", text)
+        text = rest if _WORD.search(rest) else text
+    return [c for c in _SPLIT.split(text) if c and _WORD.search(c)]
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,37 +85,48 @@ class LanguageModel:
         self.idf, self.centroids, self.owner, self.reject = idf, centroids, owner, reject
 
     @classmethod
-    def fit(cls, labelled: list[tuple[str, str]], per_language: int = 3, rounds: int = 6, reject: float | None = None) -> LanguageModel:
-        """Spherical k-means inside each language. ``labelled``: (language, text); unknown languages are ignored."""
-        labelled = sorted({(lang, t) for lang, t in labelled if lang in LANGUAGES and t})
+    def fit(cls, labelled: list[tuple], per_language: int = 4, rounds: int = 6, reject: float | None = None) -> LanguageModel:
+        """Spherical k-means inside each language. ``labelled``: (language, text[, count]); unknown languages are ignored.
+
+        A text under several labels keeps its most frequent one. Labels may be wrong: a text that is clearly nearer to the
+        mean of another language leaves the sample before clustering. The first cluster of a language starts from its texts
+        of five words or fewer, which lie far from whole sentences.
+        """
+        label: dict[str, tuple[int, str]] = {}
+        for lang, t, *count in labelled:
+            if lang in LANGUAGES and t:
+                label[t] = max(label.get(t, (0, "")), (count[0] if count else 1, lang))
         size = 1 << BITS
-        if not labelled:
+        if not label:
             return cls(np.ones(size, np.float32), np.zeros((size, 1), np.float32), np.zeros(1, dtype=int), 2.0)
-        doc, bucket, tf = grams([t for _, t in labelled])
-        n = len(labelled)
+        texts = sorted(label)
+        n, k = len(texts), per_language
+        code = np.array([LANGUAGES.index(label[t][1]) for t in texts])
+        weight = np.sqrt([label[t][0] for t in texts])
+        doc, bucket, tf = grams(texts)
         idf = (np.log((1 + n) / (1 + np.bincount(bucket, minlength=size))) + 1).astype(np.float32)
         w = tf * idf[bucket]
         norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n)) + 1e-9
         w = (w / norm[doc]).astype(np.float32)
-        code = np.array([LANGUAGES.index(lang) for lang, _ in labelled])
-        rng = np.random.default_rng(7)
-        k = per_language
-        cluster = code * k + rng.integers(0, k, n)
+
+        def means(cluster: np.ndarray, many: int, use: np.ndarray) -> np.ndarray:
+            on = use[doc]
+            flat = np.bincount(bucket[on] * many + cluster[doc[on]], weights=w[on] * weight[doc[on]], minlength=size * many).reshape(size, many)
+            return (flat / (np.sqrt((flat * flat).sum(axis=0)) + 1e-9)).astype(np.float32)
+
+        every = np.ones(n, dtype=bool)
+        plain = _project(doc, bucket, w, means(code, len(LANGUAGES), every), n)
+        use = plain[np.arange(n), code] >= 0.75 * plain.max(axis=1)
+        short = np.array([len(_WORD.findall(t)) <= 5 for t in texts])
+        cluster = code * k + np.where(short | (k == 1), 0, np.random.default_rng(7).integers(min(1, k - 1), k, n))
         owner = np.repeat(np.arange(len(LANGUAGES)), k)
         for _ in range(rounds):
-            flat = np.bincount(bucket * (len(owner)) + cluster[doc], weights=w, minlength=size * len(owner)).reshape(size, len(owner))
-            cent = (flat / (np.sqrt((flat * flat).sum(axis=0)) + 1e-9)).astype(np.float32)
-            sims = _sums(doc, cent[bucket] * w[:, None], n)
+            sims = _project(doc, bucket, w, means(cluster, len(owner), use), n)
             sims[owner[None, :] != code[:, None]] = -1
             cluster = sims.argmax(axis=1)
-        # a label in the sample may be wrong: texts nearer to another language than their own leave the centroids
-        free = _sums(doc, cent[bucket] * w[:, None], n)
-        keep = owner[free.argmax(axis=1)] == code
-        flat = np.bincount(bucket[keep[doc]] * len(owner) + cluster[doc[keep[doc]]], weights=w[keep[doc]], minlength=size * len(owner)).reshape(size, len(owner))
-        cent = (flat / (np.sqrt((flat * flat).sum(axis=0)) + 1e-9)).astype(np.float32)
-        own = _sums(doc, cent[bucket] * w[:, None], n).max(axis=1)
-        limit = float(np.quantile(own[keep], 0.001)) * 0.6 if reject is None else reject
-        return cls(idf, cent, owner, limit)
+        centroids = means(cluster, len(owner), use)
+        own = _project(doc, bucket, w, centroids, n).max(axis=1)
+        return cls(idf, centroids, owner, float(np.quantile(own[use], 0.001)) * 0.6 if reject is None else reject)
 
     def similarities(self, texts: list[str]) -> np.ndarray:
         """Greatest cosine per language, (texts, languages)."""
@@ -123,17 +137,22 @@ class LanguageModel:
             return best
         w = tf * self.idf[bucket]
         norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n)) + 1e-9
-        sims = _sums(doc, self.centroids[bucket] * w[:, None], n) / norm[:, None]
+        sims = _project(doc, bucket, w, self.centroids, n) / norm[:, None]
         for lang in set(self.owner.tolist()):
             best[:, lang] = sims[:, self.owner == lang].max(axis=1)
         return best
 
 
-def _sums(doc: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sum of rows by (sorted) doc."""
-    out = np.zeros((n, values.shape[1]), np.float32)
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    out[doc[first]] = np.add.reduceat(values, first, axis=0)
+def _project(doc: np.ndarray, bucket: np.ndarray, w: np.ndarray, centroids: np.ndarray, n: int, block: int = 200_000) -> np.ndarray:
+    """Dot product of each text (rows of sorted ``doc``) with each centroid, in blocks of bounded memory."""
+    out = np.zeros((n, centroids.shape[1]), np.float32)
+    at = 0
+    while at < len(doc):
+        to = min(len(doc), at + block)
+        d = doc[at:to]
+        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        out[d[first]] += np.add.reduceat(centroids[bucket[at:to]] * w[at:to, None], first, axis=0)
+        at = to
     return out
 
 
@@ -146,49 +165,64 @@ def segment_languages(model: LanguageModel, texts: list[str | None], min_words:
     """
     parts = [clauses(t) if t else [] for t in texts]
     flat = [c for p in parts for c in p]
-    sims = model.similarities(flat) if flat else np.zeros((0, len(LANGUAGES)), np.float32)
-    order = np.argsort(-sims, axis=1)[:, :2]
-    top = np.take_along_axis(sims, order, axis=1)
-    lead = (top[:, 0] - top[:, 1]) / np.maximum(top[:, 0], 1e-9)
-    lengths = [len(_WORD.findall(c)) for c in flat]
-    out, at = [], 0
+    if not flat:
+        return [[] for _ in texts]
+    sims = model.similarities(flat)
+    every = np.arange(len(flat))
+    first = sims.argmax(axis=1)
+    best = sims[every, first]
+    rest = sims.copy()
+    rest[every, first] = -1
+    lead = ((best - rest.max(axis=1)) / np.maximum(best, 1e-9)).tolist()
+    first, best = first.tolist(), best.tolist()
+    out: list[list[tuple[str, float, str]]] = []
+    at = 0
     for t, p in zip(texts, parts, strict=True):
-        here = range(at, at + len(p))
-        at += len(p)
-        total = sims[here.start : here.stop].T @ np.array([lengths[i] for i in here], dtype=np.float32) if p else None
-        name = p and not _LOWER.search(t) and (len(_LONG.findall(t)) < 2 or (not t.isupper() and lead[here.start : here.stop].max() < name_margin))
-        if total is None or name or top[here.start : here.stop, 0].max() < model.reject:
+        i, at = at, at + len(p)
+        if not p or max(best[i:at]) < model.reject:
             out.append([])
-            continue
-        main = int(total.argmax())
-        found: list[tuple[str, float, str]] = []
-        for i in here:
-            sure = lengths[i] >= min_words and lead[i] >= margin and top[i, 0] >= model.reject
-            lang = int(order[i, 0]) if sure else main
-            rest = np.delete(sims[i], lang).max()
-            conf = float(np.clip(0.5 + (sims[i, lang] - rest) / (2 * max(float(sims[i].max()), 1e-9)), 0.0, 1.0))
-            if found and found[-1][0] == LANGUAGES[lang]:
-                found[-1] = (found[-1][0], max(found[-1][1], conf), found[-1][2] + " " + flat[i])
-            else:
-                found.append((LANGUAGES[lang], conf, flat[i]))
-        out.append(found)
+        elif not _LOWER.search(t) and (len(_LONG.findall(t)) < 2 or (not t.isupper() and max(lead[i:at]) < name_margin)):
+            out.append([])
+        elif len(p) == 1:
+            out.append([(LANGUAGES[first[i]], 0.5 + lead[i] / 2, p[0])])
+        else:
+            lengths = [len(_WORD.findall(c)) for c in p]
+            main = int((sims[i:at].T @ np.array(lengths, dtype=np.float32)).argmax())
+            found: list[tuple[str, float, str]] = []
+            for k, c in enumerate(p, i):
+                sure = lengths[k - i] >= min_words and lead[k] >= margin and best[k] >= model.reject
+                lang = first[k] if sure else main
+                others = np.delete(sims[k], lang).max()
+                conf = float(np.clip(0.5 + (sims[k, lang] - others) / (2 * max(best[k], 1e-9)), 0.0, 1.0))
+                if found and found[-1][0] == LANGUAGES[lang]:
+                    found[-1] = (found[-1][0], max(found[-1][1], conf), found[-1][2] + " " + c)
+                else:
+                    found.append((LANGUAGES[lang], conf, c))
+            out.append(found)
     return out
 
 
-def labelled_sample(df: DataFrame, text: str, label: str, per_language: int = 3000) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled texts of each language, spread evenly by hash; the bound of what is collected."""
-    rows = df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("lang")).where(F.col("lang").isin(LANGUAGES) & F.col("t").rlike(r"(^|\s)\p{Ll}"))
-    rows = rows.withColumn("h", F.xxhash64("t"))
-    picked = rows.groupBy("lang", F.pmod("h", F.lit(per_language)).alias("slot")).agg(F.min("h").alias("h")).select("lang", "h")
-    keys = [(r["lang"], r["h"]) for r in picked.collect()]  # per_language x languages longs
+def labelled_sample(df: DataFrame, text: str, label: str, per_language: int = 2000) -> list[tuple[str, str, int]]:
+    """At most ``per_language`` distinct texts of each label, the most frequent of each hash slot, as (language, text, rows).
+
+    The bound holds for what is collected; the counts behind it cover all rows. Texts of one word are left out.
+    """
+    rows = df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("lang"))
+    rows = rows.where(F.col("lang").isin(LANGUAGES) & F.col("t").rlike(r"\p{L}{2,}[\s,'’\-]+\p{L}{2,}"))
+    low = (1 << 43) - 1
+    rows = rows.withColumn("h", F.xxhash64("t").bitwiseAND(F.lit(low)))
+    counts = rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
+    ranked = F.shiftleft(F.least(F.col("n"), F.lit((1 << 19) - 1)), 43).bitwiseOR(F.col("h"))  # plain longs keep the aggregate in hash tables
+    picked = counts.groupBy("lang", F.pmod("h", F.lit(per_language)).alias("slot")).agg(F.max(ranked).alias("r"))
+    keys = [(k,) for k in {r["r"] & low for r in picked.select("r").collect()}]  # per_language x languages longs
     if not keys:
         return []
-    wanted = rows.sparkSession.createDataFrame(keys, "lang string, h bigint")
-    found = rows.join(F.broadcast(wanted), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("t").alias("t"))
-    return [(r["lang"], r["t"]) for r in found.collect()]
+    wanted = rows.sparkSession.createDataFrame(keys, "h bigint")
+    counted = rows.join(F.broadcast(wanted), "h", "left_semi").groupBy("lang", "h").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("n"))
+    return [(r["lang"], r["t"], r["n"]) for r in counted.collect()]
 
 
-def fit_languages(df: DataFrame, text: str = "target_text", label: str = "target_lang", per_language: int = 3000) -> LanguageModel:
+def fit_languages(df: DataFrame, text: str = "target_text", label: str = "target_lang", per_language: int = 2000) -> LanguageModel:
     return LanguageModel.fit(labelled_sample(df, text, label, per_language))
 
 
@@ -222,7 +256,7 @@ def with_languages(df: DataFrame, model: LanguageModel, text: str, batch_columns
     return kept.mapInArrow(run, f"{fields}, langs string, confidence double, segments array<struct<lang: string, confidence: double, text: string>>")
 
 
-def language_faults(segments: DataFrame, model: LanguageModel | None = None, per_language: int = 3000) -> DataFrame:
+def language_faults(segments: DataFrame, model: LanguageModel | None = None, per_language: int = 2000) -> DataFrame:
     """Speech rows whose label is missing or wrong or whose text mixes languages: seg_uid, kind, lang, confidence.
 
     Null, blank and name-only texts, and non-speech rows, are no case; a null ``is_non_speech`` counts as speech; repeated
