@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.language import language_faults
+from cadenza.llm.leakage import leaked_items
 from cadenza.llm.pairs import main_defect
 from cadenza.llm.runs import event_runs, repeated_runs
 from cadenza.llm.transcripts import clean_turns, turn_bounds
@@ -29,6 +30,10 @@ def p4_found(spark, sf_dir):
     return main_defect(table(spark, sf_dir, "timeline_segment"))
 
 
+def p8_found(spark, sf_dir):
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+
+
 P6_FOUND = """WITH usable AS (
   SELECT DISTINCT workspace_id, idx, seg_uid,
          'speaker_' || lpad(regexp_extract(lower(speaker), '([0-9]+)', 1), 2, '0') AS speaker,
@@ -40,7 +45,7 @@ numbered AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT workspace_id, arg_min(idx, s * 1000000 + idx) AS first_idx, arg_max(idx, s * 1000000 + idx) AS last_idx
 FROM numbered GROUP BY workspace_id, g HAVING count(*) >= 2"""
 
-QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found}
+QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found}
 ORACLE = {"p6_found": P6_FOUND}
 
 
