@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cadenza.llm.encodings import repaired_documents
 from cadenza.llm.language import language_faults
 from cadenza.llm.leakage import leaked_items
 from cadenza.llm.pairs import main_defect
@@ -34,6 +35,14 @@ def p8_found(spark, sf_dir):
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
+def p9_found(spark, sf_dir):
+    return repaired_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark, sf_dir):
+    return repaired_documents(table(spark, sf_dir, "documents"))
+
+
 P6_FOUND = """WITH usable AS (
   SELECT DISTINCT workspace_id, idx, seg_uid,
          'speaker_' || lpad(regexp_extract(lower(speaker), '([0-9]+)', 1), 2, '0') AS speaker,
@@ -45,7 +54,7 @@ numbered AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT workspace_id, arg_min(idx, s * 1000000 + idx) AS first_idx, arg_max(idx, s * 1000000 + idx) AS last_idx
 FROM numbered GROUP BY workspace_id, g HAVING count(*) >= 2"""
 
-QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE = {"p6_found": P6_FOUND}
 
 
