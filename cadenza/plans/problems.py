@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cadenza.operators.drift import consistent_table, schema_changes
 from cadenza.operators.timelines import periods_and_gaps
 from cadenza.sources.tables import table
 
@@ -26,5 +27,21 @@ following AS (SELECT *, lead(s) OVER (PARTITION BY workspace_id, speaker ORDER B
 SELECT workspace_id, speaker, 'merged' AS kind, s AS start_ms, e AS end_ms FROM period WHERE n >= 2
 UNION ALL SELECT workspace_id, speaker, 'gap', e, nxt FROM following WHERE nxt IS NOT NULL"""
 
-QUERIES = {"p1_found": p1_found}
+def p5_found(spark, sf_dir):
+    return schema_changes(table(spark, sf_dir, "raw_record"))
+
+
+def p5_history(spark, sf_dir):
+    return consistent_table(table(spark, sf_dir, "raw_record"), "history")
+
+
+def p5_timeline(spark, sf_dir):
+    return consistent_table(table(spark, sf_dir, "raw_record"), "timeline")
+
+
+def p5_manifest(spark, sf_dir):
+    return consistent_table(table(spark, sf_dir, "raw_record"), "manifest")
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_history": p5_history, "p5_timeline": p5_timeline, "p5_manifest": p5_manifest}
 ORACLE = {"p1_found": P1_FOUND}
