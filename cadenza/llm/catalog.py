@@ -5,6 +5,7 @@ from __future__ import annotations
 from cadenza.llm.encodings import repaired_documents
 from cadenza.llm.language import language_faults
 from cadenza.llm.leakage import leaked_items
+from cadenza.llm.packing import container_fill, fill_containers
 from cadenza.llm.pairs import main_defect
 from cadenza.llm.runs import event_runs, repeated_runs
 from cadenza.llm.transcripts import clean_turns, turn_bounds
@@ -31,6 +32,14 @@ def p4_found(spark, sf_dir):
     return main_defect(table(spark, sf_dir, "timeline_segment"))
 
 
+def p7_containers(spark, sf_dir):
+    return fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_spec"))
+
+
+def p7_fill(spark, sf_dir):
+    return container_fill(p7_containers(spark, sf_dir), table(spark, sf_dir, "container_spec"))
+
+
 def p8_found(spark, sf_dir):
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
@@ -54,7 +63,7 @@ numbered AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT workspace_id, arg_min(idx, s * 1000000 + idx) AS first_idx, arg_max(idx, s * 1000000 + idx) AS last_idx
 FROM numbered GROUP BY workspace_id, g HAVING count(*) >= 2"""
 
-QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE = {"p6_found": P6_FOUND}
 
 
