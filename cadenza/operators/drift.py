@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cadenza.sources.shared import written
+
 NUMBER, STRING, BOOLEAN, NUMERAL = 1, 2, 4, 8  # NUMERAL: text that reads as a number
 #: Name of what tells the entries of a list apart, by the list's path; elements of other lists go by position.
 ENTRY_KEYS = {"segments": "id"}
@@ -96,9 +98,9 @@ def schema_changes(raw: DataFrame) -> DataFrame:
     more equal values, then the same parent, then the nearer name. A field of the whole document whose value changes too is
     known by its place and the last word of its name. Files without a readable entry are passed over; files
     of one series are ordered by ``written_at``, then ``file_id``; repeated and late lines change nothing; null series form
-    one series; an empty table gives an empty result.
+    one series; an empty table gives an empty result. Payloads are parsed once, into a table in the shared folder.
     """
-    leaves = read_leaves(raw)
+    leaves = written(read_leaves(raw).select("series_id", "file_id", "written_at", "path", "entry", "type", "value"), "leaves")
     json_kind = F.when(F.col("type") == NUMERAL, STRING).otherwise(F.col("type"))
     fields = leaves.groupBy("series_id", "file_id", "path").agg(F.bit_or(json_kind).alias("mask"), F.min("written_at").alias("written_at"), F.bool_and(F.col("entry") == 0).alias("whole"))
     order = Window.partitionBy("series_id").orderBy("written_at", "file_id")
