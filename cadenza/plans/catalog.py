@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import problems
+from cadenza.plans import problems, text_queries
 
-MODULES = [problems]
+MODULES = [problems, text_queries]
 
 
 def queries():
