@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import problems, text_queries
+from cadenza.plans import join_queries, problems, text_queries
 
-MODULES = [problems, text_queries]
+MODULES = [problems, text_queries, join_queries]
 
 
 def queries():

@@ -6,19 +6,11 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import arrays, keys, scores, text
 from cadenza.operators import candidates
+from cadenza.plans.registry import Registry
 from cadenza.sources.tables import table
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
 
 
 # SQL building blocks, written independently of the column expressions
