@@ -113,3 +113,26 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], payload: lis
     joined = rows.join(carry, null_safe(rows, carry, [*keys, "_b"])).drop(*[f"r_{k}" for k in [*keys, "_b"]])
     inside = Window.partitionBy(*keys, "_b").orderBy(*order)
     return joined.withColumn("previous", F.coalesce(F.lag("_row").over(inside), F.col("_carry"))).drop("_b", "_row", "_carry")
+
+
+def ordered_rank(df: DataFrame, keys: list[str], order: list[str], width: int, name: str = "rank", count: str | None = None) -> DataFrame:
+    """Position (0, 1, ...) of each row within its key by ``order``, counted bucket by bucket; ``count`` adds the key's size."""
+    rows = df.withColumn("_b", bucket_of(F.col(order[0]), width)).repartition(*keys, "_b")
+    by_key = Window.partitionBy(*keys).orderBy("_b")
+    sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = sizes.withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    carry = sizes.select(*[F.col(k).alias(f"r_{k}") for k in [*keys, "_b"]], "_before", "_all")
+    joined = rows.join(carry, null_safe(rows, carry, [*keys, "_b"])).drop(*[f"r_{k}" for k in [*keys, "_b"]])
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order)
+    out = joined.withColumn(name, F.col("_before") + F.row_number().over(inside) - 1)
+    return (out.withColumn(count, F.col("_all")) if count else out).drop("_b", "_before", "_all")
+
+
+def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], per_key: int, width: int) -> DataFrame:
+    """``per_key`` rows of each key, evenly spaced over its order, first and last included; all rows of smaller keys."""
+    ranked = ordered_rank(df, keys, order, width, "_r", "_c")
+    k, r, n = F.lit(per_key), F.col("_r"), F.col("_c")
+    step = F.ceil(r * (k - 1) / F.greatest(n - 1, F.lit(1)))
+    hit = F.floor(step * (n - 1) / F.greatest(k - 1, F.lit(1))) == r
+    return ranked.where((n <= k) | (hit & (step < k))).drop("_r", "_c")
