@@ -18,7 +18,7 @@ def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_json_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per file: path and ``value``, null where the file is corrupt."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.from_json(F.decode("content", F.lit("UTF-8")), schema, {"mode": "PERMISSIVE"}).alias("value"))
+    return files.select("path", F.from_json(F.decode("content", "UTF-8"), schema, {"mode": "PERMISSIVE"}).alias("value"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = HISTORY) -> DataFrame:
@@ -39,7 +39,7 @@ def best_record(history: DataFrame) -> DataFrame:
 def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     """term, action, replacement from a map of terms or a list under ``entities``; invalid entries are skipped, the last of a
     term wins, a corrupt file holds none. Only ``replace`` keeps a replacement."""
-    files = spark.read.format("binaryFile").load(path).select(F.decode("content", F.lit("UTF-8")).alias("c"))
+    files = spark.read.format("binaryFile").load(path).select(F.decode("content", "UTF-8").alias("c"))
     entry = "struct<action:string,replacement:string>"
     mapped = files.select(F.posexplode(F.from_json("c", f"map<string,{entry}>")).alias("pos", "term", "e")).where("term <> 'entities'")
     listed = files.select(F.from_json("c", "entities array<struct<original:string,replacement:string,action:string>>")["entities"].alias("a"))
@@ -54,7 +54,7 @@ def read_profiles(spark: SparkSession, root: str) -> DataFrame:
     preferred to the recorded path; profiles without readable metadata are left out."""
     tree = lambda glob: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     at = lambda k: F.element_at(F.split("path", "/"), k)
-    meta = tree("metadata.json").select(at(-3).alias("speaker"), at(-2).alias("profile"), F.from_json(F.decode("content", F.lit("UTF-8")), "score double, reference_duration_s double, reference string").alias("m"))
+    meta = tree("metadata.json").select(at(-3).alias("speaker"), at(-2).alias("profile"), F.from_json(F.decode("content", "UTF-8"), "score double, reference_duration_s double, reference string").alias("m"))
     waves = tree("reference.wav").drop("content").select(at(-3).alias("speaker"), at(-2).alias("profile"), F.col("path").alias("wave"))
     rows = meta.where("m is not null and (m.score is not null or m.reference_duration_s is not null or m.reference is not null)").join(waves, ["speaker", "profile"], "left")
     return rows.select("speaker", "profile", "m.score", "m.reference_duration_s", F.coalesce("wave", "m.reference").alias("reference"))
