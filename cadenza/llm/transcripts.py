@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.operators.sequences import chunked_runs, with_previous
+from cadenza.sources.shared import written
 
 # Labels that name nobody, and hesitations. Those of AMBIGUOUS are words of some language: inside speech of
 # that language they go only if punctuation sets them off.
@@ -168,7 +169,7 @@ def calibrated_pause(found: DataFrame, share: float = 0.99) -> DataFrame:
 
 def turn_marks(lines: DataFrame, profiles: DataFrame, split_pauses: bool = False, min_overlap: int = 5) -> DataFrame:
     """Pieces with ``run``, the order key of the first piece of their turn."""
-    found = without_rolling(spoken_pieces(lines, profiles), min_overlap)
+    found = without_rolling(written(spoken_pieces(lines, profiles), "pieces"), min_overlap)  # texts are taken apart once
     if split_pauses:
         limit = calibrated_pause(found).withColumnRenamed("workspace_id", "r_ws")
         found = found.join(limit, F.col("workspace_id").eqNullSafe(F.col("r_ws")), "left").drop("r_ws")
