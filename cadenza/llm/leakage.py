@@ -29,29 +29,25 @@ _ACCENT = re.compile(r"[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff]+")
 _WORD = re.compile(r"\w+")
 
 
+def normal(text: str) -> str:
+    """Text without line marks and diacritics."""
+    text = _MARK.sub(" ", text)
+    return text if text.isascii() else _ACCENT.sub("", unicodedata.normalize("NFKD", text))
+
+
 def words(text: str | None) -> tuple[list[str], list[bool]]:
-    """Words without case, diacritics and line marks, and whether each begins with a capital inside its sentence."""
-    if not text:
-        return [], []
-    text = unicodedata.normalize("NFKD", _MARK.sub(" ", text))
-    text = text if text.isascii() else _ACCENT.sub("", text)
-    out, caps, before = [], [], "."
-    at = 0
+    """Lower-cased words, and whether each begins with a capital inside its sentence."""
+    text = normal(text or "")
+    out, caps, at = [], [], 0
     for m in _WORD.finditer(text):
-        w = m[0]
-        gap = text[at : m.start()]
-        before = "." if any(c in ".?!:\n" for c in gap) or not out else " "
+        w, gap = m[0], text[at : m.start()]
+        first = not out or any(c in ".?!:\n" for c in gap)
         at = m.end()
         out.append(w.lower())
-        caps.append(w[0].isupper() and (before != "." or w[1:2].islower() is False))
+        caps.append(w[0].isupper() and not first)
     return out, caps
 
 
-def template(tokens: list[str], caps: list[bool]) -> list[str]:
-    """Tokens with numbers, names and units replaced by typed placeholders; neighbouring names are one."""
-    return [NUMBER if t[0].isdigit() else NAME if c else UNIT if t in UNITS else t for t, c in zip(tokens, caps, strict=True)]
-
-
 def _hash(values: list[str]) -> np.ndarray:
     return np.fromiter((hash_word(v) for v in values), dtype=np.uint64, count=len(values))
 
@@ -79,43 +75,53 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Windows of the evaluation items, as templates and as they stand. Its size follows the evaluation set, never the corpus.
+    """Template windows of the evaluation items. Its size follows the evaluation set, never the corpus.
 
-    Windows as they stand serve documents whose case is lost, where names can't be told. A stretch of 15 words or more with
+    A word of the items always gets the same mark, as a name if it is one anywhere in them; a capital decides for words the
+    items do not have. So a document in other letter case still has the items' templates. A stretch of 15 words or more with
     one edit in 8 holds 5 unchanged words in a row, so windows of 5 words miss none.
     """
 
     def __init__(self, items: list[tuple[int, str | None, str | None, str | None]], width: int = 5):
         self.width = width
         self.fields: list[tuple[int, list[tuple[str, str]]]] = []
-        places = defaultdict(dict)
-        for item_id, *texts in items:
-            for text in texts:
-                tokens, caps = words(text)
-                number = len(self.fields)
-                marked = template(tokens, caps)
-                self.fields.append((item_id, list(zip(tokens, marked, strict=True))))
-                same = windows(_hash(tokens), width).tolist()
-                for at, (t, p) in enumerate(zip(windows(_hash(marked), width).tolist(), same, strict=True)):
-                    places[t][(number, at)] = p
-                    places[p][(number, at)] = p
-        self.places = {h: [(f, at, p) for (f, at), p in v.items()] for h, v in places.items()}
+        self.marks: dict[str, str] = {}
+        read = [(item_id, *words(text)) for item_id, *texts in items for text in texts]
+        for _, tokens, caps in read:
+            for t, c in zip(tokens, caps, strict=True):
+                if self.marks.get(t) != NAME:
+                    self.marks[t] = NUMBER if t[0].isdigit() else NAME if c else UNIT if t in UNITS else t
+        self.places: dict[int, list[tuple[int, int, int]]] = {}
+        for number, (item_id, tokens, _) in enumerate(read):
+            marked = [self.marks[t] for t in tokens]
+            self.fields.append((item_id, list(zip(tokens, marked, strict=True))))
+            for at, (t, p) in enumerate(zip(windows(_hash(marked), width).tolist(), windows(_hash(tokens), width).tolist(), strict=True)):
+                self.places.setdefault(t, []).append((number, at, p))
+        self._keys()
+
+    def _keys(self) -> None:
         self.keys = np.array(sorted(self.places), dtype=np.uint64)
 
-    def anchors(self, tokens: list[str], marks: list[str]) -> list[tuple[int, int, int, bool]]:
-        """(field, document position, item position, filled alike) of every window shared with an item."""
+    def read(self, text: str) -> tuple[list[str], list[str]]:
+        """Words of a document and their template."""
+        raw = _WORD.findall(normal(text))
+        tokens = [w.lower() for w in raw]
+        known = self.marks.get
+        return tokens, [known(t) or (NUMBER if w[0].isdigit() else NAME if w[0].isupper() else UNIT if t in UNITS else t) for w, t in zip(raw, tokens, strict=True)]
+
+    def anchors(self, tokens: list[str], marked: list[str]) -> list[tuple[int, int, int]]:
+        """(field, document position, item position) of every template window shared with an item and filled alike.
+
+        Slots filled otherwise make a text of the same mould, not this one.
+        """
         if len(tokens) < self.width or not len(self.keys):
             return []
-        plain = _hash(tokens)
-        as_is = windows(plain, self.width)
-        marked = windows(_hash(marks), self.width)
-        found = set()
-        for h in (marked, as_is):
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            for i in np.flatnonzero(self.keys[at] == h).tolist():
-                same = int(as_is[i])
-                found.update((f, i, p, w == same) for f, p, w in self.places[int(h[i])])
-        return sorted(found)
+        h = windows(_hash(marked), self.width)
+        hits = np.flatnonzero(self.keys[np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)] == h).tolist()
+        if not hits:
+            return []
+        as_is = windows(_hash(tokens), self.width)
+        return sorted((f, i, p) for i in hits for f, p, w in self.places[int(h[i])] if w == int(as_is[i]))
 
 
 def longest_copy(doc: list[tuple[str, str]], item: list[tuple[str, str]], seeds: list[tuple[int, int]], per_edit: int = 8, least: int = 15) -> int:
@@ -171,14 +177,10 @@ def _reach(doc: list, item: list, i: int, j: int, step: int, limit: int) -> list
 
 def leaks(text: str | None, index: ItemIndex, least: int = 15, per_edit: int = 8) -> list[tuple[int, int]]:
     """(item, words) of every item of which the text holds a long enough, faithful enough stretch."""
-    tokens, caps = words(text)
-    if len(tokens) < index.width:
-        return []
+    tokens, marked = index.read(text or "")
     seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    marked = template(tokens, caps)
-    for field, i, j, alike in index.anchors(tokens, marked):
-        if alike:  # slots filled otherwise: a question of the same mould, not this one
-            seeds[field].append((i, j))
+    for field, i, j in index.anchors(tokens, marked):
+        seeds[field].append((i, j))
     found: dict[int, int] = {}
     for field, hits in seeds.items():
         item_id, plain = index.fields[field]
@@ -214,15 +216,15 @@ def leaked_items(documents: DataFrame, items: DataFrame, width: int = 5, least:
     empty result; extra columns are ignored. Very long texts are read whole.
     """
     index = item_index(items, width)
-    shared = documents.sparkSession.sparkContext.broadcast((index.width, index.fields, index.places))
+    shared = documents.sparkSession.sparkContext.broadcast((index.width, index.fields, index.marks, index.places))
 
     def run(batches):
         import pyarrow as pa
 
-        width_, fields, places = shared.value
+        width_, fields, marks, places = shared.value
         here = ItemIndex([], width_)
-        here.fields, here.places = fields, places
-        here.keys = np.array(sorted(places), dtype=np.uint64)
+        here.fields, here.marks, here.places = fields, marks, places
+        here._keys()
         for b in batches:
             out = [(d, i, n) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, n in leaks(t, here, least, per_edit)]
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
