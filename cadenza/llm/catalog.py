@@ -25,11 +25,11 @@ def p2_clean_turns(spark, sf_dir):
 
 
 def p3_found(spark, sf_dir):
-    return language_faults(table(spark, sf_dir, "timeline_segment")).select("seg_uid", "kind", "lang")
+    return language_faults(table(spark, sf_dir, "timeline_segment"), documents=table(spark, sf_dir, "documents")).select("seg_uid", "kind", "lang")
 
 
 def p4_found(spark, sf_dir):
-    return main_defect(table(spark, sf_dir, "timeline_segment"))
+    return main_defect(table(spark, sf_dir, "timeline_segment"), documents=table(spark, sf_dir, "documents"))
 
 
 def p7_containers(spark, sf_dir):

@@ -27,6 +27,7 @@ OTHER_CODES = ["it", "nl", "sv", "da", "no", "nb", "fi", "pl", "cs", "sk", "hu",
 BITS = 15
 _SPLIT = re.compile(r"(?<=[.?!…])[\"”»’']*\s+|\s+[—–]\s+|[\n;]+")
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
+_CYRILLIC = re.compile("[Ѐ-ӿ]")
 _QUOTE = re.compile("[“«„\"]")
 _SPACE = re.compile(r"[^\w\x00'’]+|[\d_]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -140,6 +141,7 @@ class LanguageModel:
         sims = _project(doc, bucket, w, self.centroids, n) / norm[:, None]
         for lang in set(self.owner.tolist()):
             best[:, lang] = sims[:, self.owner == lang].max(axis=1)
+        best[[not _CYRILLIC.search(t) for t in texts], LANGUAGES.index("ru")] = 0  # what shares no script shares no language
         return best
 
 
@@ -202,12 +204,11 @@ def segment_languages(model: LanguageModel, texts: list[str | None], min_words:
     return out
 
 
-def labelled_sample(df: DataFrame, text: str, label: str, per_language: int = 2000) -> list[tuple[str, str, int]]:
-    """At most ``per_language`` distinct texts of each label, the most frequent of each hash slot, as (language, text, rows).
+def labelled_sample(rows: DataFrame, per_language: int = 2000) -> list[tuple[str, str, int]]:
+    """At most ``per_language`` distinct texts of each label of (t, lang), the most frequent of each hash slot, as (language, text, rows).
 
     The bound holds for what is collected; the counts behind it cover all rows. Texts of one word are left out.
     """
-    rows = df.select(F.col(text).alias("t"), label_language(F.col(label)).alias("lang"))
     rows = rows.where(F.col("lang").isin(LANGUAGES) & F.col("t").rlike(r"\p{L}{2,}[\s,'’\-]+\p{L}{2,}"))
     low = (1 << 43) - 1
     rows = rows.withColumn("h", F.xxhash64("t").bitwiseAND(F.lit(low)))
@@ -222,8 +223,27 @@ def labelled_sample(df: DataFrame, text: str, label: str, per_language: int = 20
     return [(r["lang"], r["t"], r["n"]) for r in counted.collect()]
 
 
-def fit_languages(df: DataFrame, text: str = "target_text", label: str = "target_lang", per_language: int = 2000) -> LanguageModel:
-    return LanguageModel.fit(labelled_sample(df, text, label, per_language))
+def fit_languages(segments: DataFrame, per_language: int = 2000, documents: DataFrame | None = None, enough: int = 200) -> LanguageModel:
+    """Model from the segments' sources, whose language the pair states, and from targets whose label agrees with the pair.
+
+    Languages with fewer than ``enough`` texts there are learnt from the sentences of labelled ``documents`` too.
+    """
+    side = lambda i: base_code(F.get(F.split("language_pair", "->"), F.lit(i)))
+    sources = segments.select(F.col("source_text").alias("t"), side(0).alias("lang"))
+    targets = segments.where(label_language(F.col("target_lang")) == side(1)).select(F.col("target_text").alias("t"), side(1).alias("lang"))
+    found = labelled_sample(sources.unionByName(targets), per_language)
+    many: dict[str, int] = {}
+    for lang, _, _ in found:
+        many[lang] = many.get(lang, 0) + 1
+    rare = [x for x in LANGUAGES if many.get(x, 0) < enough]
+    if rare and documents is not None:
+        sentences = documents.where(F.lower("lang").isin(rare)).select(F.explode(F.split("text", r"(?<=[.?!…])\s+|\n+")).alias("t"), F.lower("lang").alias("lang"))
+        found += labelled_sample(sentences.where(F.length("t").between(20, 400)), per_language)
+    return LanguageModel.fit(found)
+
+
+def base_code(code: Column) -> Column:
+    return F.lower(F.regexp_extract(F.trim(code), r"^(\p{L}{2})(?:[_\-].*)?$", 1))
 
 
 def with_languages(df: DataFrame, model: LanguageModel, text: str, batch_columns: list[str]) -> DataFrame:
@@ -256,7 +276,7 @@ def with_languages(df: DataFrame, model: LanguageModel, text: str, batch_columns
     return kept.mapInArrow(run, f"{fields}, langs string, confidence double, segments array<struct<lang: string, confidence: double, text: string>>")
 
 
-def language_faults(segments: DataFrame, model: LanguageModel | None = None, per_language: int = 2000) -> DataFrame:
+def language_faults(segments: DataFrame, model: LanguageModel | None = None, per_language: int = 2000, documents: DataFrame | None = None) -> DataFrame:
     """Speech rows whose label is missing or wrong or whose text mixes languages: seg_uid, kind, lang, confidence.
 
     Null, blank and name-only texts, and non-speech rows, are no case; a null ``is_non_speech`` counts as speech; repeated
@@ -264,7 +284,7 @@ def language_faults(segments: DataFrame, model: LanguageModel | None = None, per
     ``per_language`` labelled rows per language unless one is given.
     """
     speech = segments.where(~F.coalesce(F.col("is_non_speech"), F.lit(False)) & F.col("target_text").isNotNull())
-    model = model or fit_languages(speech, per_language=per_language)
+    model = model or fit_languages(speech, per_language, documents)
     rows = speech.withColumn("named", label_language(F.col("target_lang")))
     found = with_languages(rows, model, "target_text", ["seg_uid", "named"])
     kind = (
