@@ -7,6 +7,7 @@ with several centroids per language; a text too far from every centroid gets no
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -224,18 +225,18 @@ def labelled_sample(rows: DataFrame, per_language: int = 2000) -> list[tuple[str
 
 
 def fit_languages(segments: DataFrame, per_language: int = 2000, documents: DataFrame | None = None, enough: int = 200) -> LanguageModel:
-    """Model from the segments' sources, whose language the pair states, and from targets whose label agrees with the pair.
+    """Model from the segments' sources, whose language the pair states.
 
-    Languages with fewer than ``enough`` texts there are learnt from the sentences of labelled ``documents`` too.
+    Languages with fewer than ``enough`` texts there are learnt from targets whose label agrees with the pair and from the
+    sentences of labelled ``documents`` too.
     """
     side = lambda i: base_code(F.get(F.split("language_pair", "->"), F.lit(i)))
-    sources = segments.select(F.col("source_text").alias("t"), side(0).alias("lang"))
-    targets = segments.where(label_language(F.col("target_lang")) == side(1)).select(F.col("target_text").alias("t"), side(1).alias("lang"))
-    found = labelled_sample(sources.unionByName(targets), per_language)
-    many: dict[str, int] = {}
-    for lang, _, _ in found:
-        many[lang] = many.get(lang, 0) + 1
-    rare = [x for x in LANGUAGES if many.get(x, 0) < enough]
+    found = labelled_sample(segments.select(F.col("source_text").alias("t"), side(0).alias("lang")), per_language)
+    many = Counter(lang for lang, _, _ in found)
+    rare = [x for x in LANGUAGES if many[x] < enough]
+    if rare:
+        targets = segments.where((label_language(F.col("target_lang")) == side(1)) & side(1).isin(rare))
+        found += labelled_sample(targets.select(F.col("target_text").alias("t"), side(1).alias("lang")), per_language)
     if rare and documents is not None:
         sentences = documents.where(F.lower("lang").isin(rare)).select(F.explode(F.split("text", r"(?<=[.?!…])\s+|\n+")).alias("t"), F.lower("lang").alias("lang"))
         found += labelled_sample(sentences.where(F.length("t").between(20, 400)), per_language)
