@@ -103,3 +103,16 @@ def coerce_parameter(value: Column, low: float, high: float, whole: bool = False
 
 def low_confidence(score: Column, limit: float = 0.6) -> Column:
     return F.coalesce(score < limit, F.lit(False))
+
+
+def duration_ratio(a: Column, b: Column) -> Column:
+    """Shorter to longer; null unless both are positive."""
+    return F.when((a > 0) & (b > 0), F.least(a, b) / F.greatest(a, b))
+
+
+def weighted_mean(parts: dict[str, float]) -> Column:
+    """Mean of the named columns by weight over those that are not null; null if none is."""
+    there = lambda n, x: F.when(F.col(n).isNotNull() & F.lit(parts[n] > 0), x).otherwise(F.lit(0.0))
+    top = sum((there(n, F.lit(w) * F.coalesce(F.col(n), F.lit(0.0))) for n, w in parts.items()), F.lit(0.0))
+    weight = sum((there(n, F.lit(w)) for n, w in parts.items()), F.lit(0.0))
+    return F.when(weight > 0, F.try_divide(top, weight))

@@ -58,3 +58,15 @@ def profile_rules() -> list[Rule]:
         Rule("error", "$.reference_duration_s", "reference is under 3 s", c("reference_duration") < 3.0),
         Rule("warning", "$.reference_duration_s", "reference is over 15 s", c("reference_duration") > 15.0),
     ]
+
+
+def wave_rules(rate: str = "rate", channels: str = "channels", mono: str = "mono") -> list[Rule]:
+    """Rules for speaker samples as ``read_waves`` gives them: readable, 16 kHz, one channel, 3 to 15 seconds."""
+    seconds = F.try_divide(F.size(mono), F.col(rate))
+    return [
+        Rule("error", "$.file", "file can't be read", F.col(rate).isNull()),
+        Rule("error", "$.rate", "sample rate is not 16000", F.col(rate) != 16000),
+        Rule("error", "$.channels", "more than one channel", F.size(channels) > 1),
+        Rule("error", "$.duration", "under 3 s", seconds < 3.0),
+        Rule("warning", "$.duration", "over 15 s", seconds > 15.0),
+    ]

@@ -136,3 +136,23 @@ def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], per_key: int
     step = F.ceil(r * (k - 1) / F.greatest(n - 1, F.lit(1)))
     hit = F.floor(step * (n - 1) / F.greatest(k - 1, F.lit(1))) == r
     return ranked.where((n <= k) | (hit & (step < k))).drop("_r", "_c")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], width: float) -> DataFrame:
+    """Exact quantiles (linear between neighbours) per key, one column per name in ``shares``.
+
+    An exact percentile aggregate holds a group's distinct values in one buffer. Here values are ranked inside buckets of
+    ``width`` and only the bucket sizes are ordered per key. Nulls and NaN are left out; keys without values give no row.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_v"))
+    rows = rows.withColumn("_o", F.floor(F.col("_v") / width).cast("bigint"))
+    if not keys:
+        rows = rows.withColumn("_k", F.lit(0))
+    ranked = ordered_rank(rows, keys or ["_k"], ["_o", "_v"], 1, "_r", "_c")
+    out = []
+    for name, p in shares.items():
+        at = F.lit(p) * (F.col("_c") - 1)
+        low, high = (F.max(F.when(F.col("_r") == f(at), F.col("_v"))) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        out.append((low + (high - low) * part).alias(name))
+    return ranked.groupBy(*(keys or ["_k"])).agg(*out).select(*keys, *shares)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scores
 from cadenza.operators.intervals import frames_outside, nearest_neighbours, overlap_pairs
-from cadenza.operators.sequences import ordered_rank
+from cadenza.operators.sequences import exact_quantiles, ordered_rank
 
 
 def gate_envelope(points: DataFrame, speech: DataFrame, keys: list[str], point_id: str, at: str, fade: int) -> DataFrame:
@@ -26,7 +26,7 @@ def gate_envelope(points: DataFrame, speech: DataFrame, keys: list[str], point_i
     return near.join(inside, point_id, "left").select(point_id, F.when(F.col("_in"), 0.0).otherwise(either).alias("gain"))
 
 
-def reverberation(frames: DataFrame, key: str, voiced: float, width: int, lag: int = 15) -> DataFrame:
+def reverberation(frames: DataFrame, key: str, voiced: float, lag: int = 15) -> DataFrame:
     """Median over ends of voiced stretches of the level ``lag`` frames later to the level at the end, in [0, 1]: key, reverb, n.
 
     ``frames`` has key, frame (0, 1, ... per key) and level. The later frames come by equi-joins on the frame number.
@@ -34,8 +34,8 @@ def reverberation(frames: DataFrame, key: str, voiced: float, width: int, lag: i
     rows = frames.select(key, "frame", "level")
     ahead = lambda n, name: rows.select(key, (F.col("frame") - n).alias("frame"), F.col("level").alias(name))
     ends = rows.where(F.col("level") >= voiced).join(ahead(1, "next"), [key, "frame"]).where(F.col("next") < voiced)
-    tails = ends.join(ahead(lag, "later"), [key, "frame"])
-    return tails.groupBy(key).agg(F.median(scores.clamp(F.try_divide(F.col("later"), F.col("level")))).alias("reverb"), F.count(F.lit(1)).alias("n"))
+    tails = ends.join(ahead(lag, "later"), [key, "frame"]).select(key, scores.clamp(F.try_divide(F.col("later"), F.col("level"))).alias("_x"))
+    return exact_quantiles(tails, [key], "_x", {"reverb": 0.5}, 0.01).join(tails.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
 
 
 def delivery(frames: DataFrame, key: str, syllables: str, seconds: str) -> DataFrame:

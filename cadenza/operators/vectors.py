@@ -99,3 +99,12 @@ def choose_k(scores: list[tuple[int, float]], margin: float = 0.15) -> int:
     base = min(scores)
     best = max(scores, key=lambda x: (x[1], -x[0]))
     return best[0] if best[1] - base[1] >= margin else base[0]
+
+
+def knee_k(heights: list[float], low: int, high: int, share: float = 0.05) -> int:
+    """Clusters by the gaps between merge heights of a dendrogram: the largest k in [low, high] whose gap is at least ``share`` of the greatest."""
+    up = sorted(heights)
+    n = len(up) + 1
+    gaps = {k: up[n - k] - up[n - k - 1] for k in range(max(low, 2), min(high, n - 1) + 1)}
+    top = max(gaps.values(), default=0.0)
+    return max((k for k, g in gaps.items() if top > 0 and g >= share * top), default=low)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from cadenza.functions import scores
 from cadenza.operators import quality, utterances
 from cadenza.operators.segments import millis, usable_segments
-from cadenza.operators.sequences import chunked_runs, continuous_periods, evenly_spaced, ordered_rank, with_previous
+from cadenza.operators.sequences import chunked_runs, continuous_periods, evenly_spaced, exact_quantiles, ordered_rank, with_previous
 from cadenza.plans.join_queries import LATEST, latest
 from cadenza.plans.problems import USABLE
 from cadenza.plans.registry import Registry
@@ -64,8 +64,8 @@ def win_utterances(spark, d):
 )
 def win_threshold_islands(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
-    level = e.agg(F.percentile("value", 0.95).alias("p95"))
-    rows = e.crossJoin(F.broadcast(level)).withColumn("loud", F.col("value") > 0.3 * F.col("p95"))  # one row, not pairs
+    level = exact_quantiles(e, [], "value", {"p95": 0.95}, 1.0).first()  # one row
+    rows = e.withColumn("p95", F.lit(level.p95 if level else None).cast("double")).withColumn("loud", F.col("value") > 0.3 * F.col("p95"))
     runs = chunked_runs(rows, ["user_id"], ["t", "event_id"], ["loud"], lambda p, c: p["loud"] == c["loud"], 86_400_000_000)
     found = runs.where("loud").groupBy("user_id", "run").agg(F.count(F.lit(1)).alias("frames"), F.min("event_id").alias("first_event"), F.least(F.lit(1.0), F.avg("value") / F.max("p95")).alias("intensity"))
     return found.where("frames >= 2").drop("run")
@@ -155,9 +155,7 @@ def agg_workspace_metrics(spark, d):
     m = m.withColumn("continuity", 1 - scores.clamp(F.col("_o") / 0.2))
     m = m.withColumn("prosodic_similarity", F.when((F.col("_n") >= 3) & (F.col("_e") >= 1e-9) & (F.col("_s") >= 1e-9), (F.col("_r") + 1) / 2))
     names = ["timing_accuracy", "slot_fit", "continuity", "prosodic_similarity"]
-    weight = lambda n: F.when(F.col(n).isNotNull(), F.lit(scores.METRIC_WEIGHTS[n])).otherwise(0.0)
-    top = sum((weight(n) * F.coalesce(F.col(n), F.lit(0.0)) for n in names), F.lit(0.0))
-    return m.withColumn("composite", F.try_divide(top, sum((weight(n) for n in names), F.lit(0.0)))).select("workspace_id", "timing_accuracy", "slot_fit", "n_overrunning", "continuity", "n_collisions", "prosodic_similarity", "composite")
+    return m.withColumn("composite", scores.weighted_mean({n: scores.METRIC_WEIGHTS[n] for n in names})).select("workspace_id", "timing_accuracy", "slot_fit", "n_overrunning", "continuity", "n_collisions", "prosodic_similarity", "composite")
 
 
 @query(
@@ -166,14 +164,16 @@ def agg_workspace_metrics(spark, d):
 )
 def win_ratio_to_median(spark, d):
     s = latest(spark, d, "workspace_id", "speaker", "timing").where("timing.estimated_duration_s > 0").select("seg_uid", "workspace_id", "speaker", F.col("timing.estimated_duration_s").alias("est"))
-    m = s.groupBy(F.col("workspace_id").alias("w"), F.col("speaker").alias("p")).agg(F.median("est").alias("mid"))
+    m = exact_quantiles(s, ["workspace_id", "speaker"], "est", {"mid": 0.5}, 0.5).withColumnsRenamed({"workspace_id": "w", "speaker": "p"})
     joined = s.join(m, F.col("workspace_id").eqNullSafe(F.col("w")) & F.col("speaker").eqNullSafe(F.col("p")))
     return joined.select("seg_uid", "mid", scores.relative(F.col("est"), F.col("mid"), 0.85, 1.15).alias("speed"))
 
 
 @query("SELECT event_type, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.1) AS p10, median(value) AS mid, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def agg_percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.95).alias("p95"), F.percentile("value", 0.1).alias("p10"), F.median("value").alias("mid"), F.countDistinct("user_id").alias("users"))
+    e = table(spark, d, "events")
+    users = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact_quantiles(e, ["event_type"], "value", {"p95": 0.95, "p10": 0.1, "mid": 0.5}, 1.0).join(users, "event_type")
 
 
 @query(

@@ -28,7 +28,7 @@ FRAMES = "f AS (SELECT user_id, value AS level, row_number() OVER (PARTITION BY
     SELECT user_id, median(greatest(0.0, least(1.0, later / level))) AS reverb, count(*) AS n FROM a WHERE level >= 20 AND nxt < 20 GROUP BY user_id"""
 )
 def agg_reverb(spark, d):
-    return signals.reverberation(frames(spark, d), "user_id", 20.0, DAY)
+    return signals.reverberation(frames(spark, d), "user_id", 20.0)
 
 
 @query(

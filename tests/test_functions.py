@@ -80,3 +80,10 @@ def test_arrays(spark):
     ones, zeros = (F.array_repeat(F.lit(x), 4) for x in (1.0, 0.0))
     assert one(spark, arrays.crossfaded(ones, zeros, 3)) == [1.0, 1.0, 0.5, 0.0, 0.0]
     assert one(spark, arrays.snr(a)) == 0.0 and one(spark, arrays.snr(F.array(*[F.lit(float(x)) for x in (0, 0, 1, 1, 1)]))) == 60.0
+
+
+def test_composite_skips_nulls(spark):
+    df = spark.createDataFrame([(1, 1.0, None, 0.0), (2, None, None, None)], "id int, a double, b double, c double")
+    got = {r.id: r.x for r in df.select("id", scores.weighted_mean({"a": 0.5, "b": 0.3, "c": 0.5}).alias("x")).collect()}
+    assert got == {1: 0.5, 2: None}
+    assert one(spark, scores.duration_ratio(F.lit(2.0), F.lit(4.0))) == 0.5 and one(spark, scores.duration_ratio(F.lit(0.0), F.lit(4.0))) is None

@@ -129,3 +129,10 @@ def test_core_does_not_import_the_language_part(module):
 
     code = f"import sys, {module}; sys.exit(any(m.startswith('cadenza.llm') for m in sys.modules))"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1]).returncode == 0
+
+
+def test_knee_and_wave_rules(spark):
+    assert vectors.knee_k([0.1, 0.1, 0.2, 5.0, 9.0], 2, 5) == 3 and vectors.knee_k([], 2, 5) == 2
+    df = spark.createDataFrame([(1, None, None, None), (2, 16000, [[0.0]], [0.0] * 16000), (3, 8000, [[0.0], [0.0]], [0.0] * 40000), (4, 16000, [[0.0]], [0.0] * 16000 * 16)], "id int, rate int, channels array<array<double>>, mono array<double>")
+    got = sorted((r.id, r.severity, r.path) for r in quality.issues(df, ["id"], quality.wave_rules()).collect())
+    assert got == [(1, "error", "$.file"), (2, "error", "$.duration"), (3, "error", "$.channels"), (3, "error", "$.rate"), (4, "warning", "$.duration")]

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from cadenza.operators.sequences import chunked_runs, continuous_periods, evenly_spaced, ordered_rank, with_previous
+from cadenza.operators.sequences import chunked_runs, continuous_periods, evenly_spaced, exact_quantiles, ordered_rank, with_previous
 from cadenza.operators.timelines import periods_and_gaps
 
 
@@ -72,3 +72,17 @@ def test_runs_previous_and_ranks_do_not_depend_on_buckets(spark):
         assert {r.i: r.rank for r in ordered_rank(df, ["k"], ["t", "i"], width).collect()} == rank
     picked = evenly_spaced(df, ["k"], ["t", "i"], 5, 100).collect()
     assert sum(r.k == "x" for r in picked) == 5 and sum(r.k == "y" for r in picked) == 5
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.choice([rng.random() * 10, -3.0, 4.5])) for _ in range(301)]
+    df = spark.createDataFrame([*rows, ("a", None), ("a", float("nan")), ("c", None)], "k string, v double")
+    for width in (0.1, 100.0):
+        got = {r.k: (r.lo, r.mid) for r in exact_quantiles(df, ["k"], "v", {"lo": 0.05, "mid": 0.5}, width).collect()}
+        for k in "ab":
+            assert np.allclose(got[k], np.quantile([v for x, v in rows if x == k], [0.05, 0.5]))
+        assert set(got) == {"a", "b"}
+    assert exact_quantiles(df.limit(0), [], "v", {"p": 0.5}, 1.0).collect() == []
