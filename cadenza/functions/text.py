@@ -51,20 +51,24 @@ def cjk_count(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"[{CJK}]", ""))
 
 
-def word_syllables(word: Column, english: Column) -> Column:
-    """Vowel groups of a lower-cased word; a silent English final ``e`` (not ``le``) is not counted; one at least."""
-    groups = F.size(F.regexp_extract_all(word, F.lit(f"([{VOWELS}]+)"), 1))
-    silent = english & (groups > 1) & word.endswith("e") & ~word.endswith("le")
-    return F.greatest(F.lit(1), groups - silent.cast("int"))
+_V = f"[{VOWELS}]"
+_C = rf"[\p{{L}}&&[^{VOWELS}]]"
+#: Words without a vowel; English words with two vowel groups or more whose last one ends in an ``e`` that no ``l`` precedes.
+_MUTE_WORD = rf"(?<!\p{{L}}){_C}+(?!\p{{L}})"
+_SILENT_E = rf"(?<!\p{{L}})\p{{L}}*{_V}{_C}*(?:[\p{{L}}&&[^{VOWELS}l]]e|{_C}{_V}+e)(?!\p{{L}})"
 
 
 def syllables(text: Column, lang: Column) -> Column:
-    """Syllables of a text; blank gives 0. Chinese and Japanese count characters, Korean counts words and characters."""
+    """Syllables of a text; blank gives 0. A word has its vowel groups, one at least; a silent English final ``e`` (not
+    ``le``) is not counted. Chinese and Japanese count characters, Korean counts words and characters.
+
+    Counted over the whole text by three patterns, so that no array of words is built.
+    """
     code = base_language(lang)
-    low = F.lower(text)
     asian = code.isin("zh", "ja")
-    words = F.when(asian, F.regexp_extract_all(low, F.lit("([a-z]+)"), 1)).otherwise(F.regexp_extract_all(low, F.lit(r"(\p{L}+)"), 1))
-    spoken = F.aggregate(words, F.lit(0), lambda acc, w: acc + word_syllables(w, asian | (code == "en")))
+    low = F.when(asian, F.regexp_replace(F.lower(text), "[^a-z]+", " ")).otherwise(F.lower(text))
+    silent = F.when(asian | (code == "en"), F.regexp_count(low, F.lit(_SILENT_E))).otherwise(0)
+    spoken = F.regexp_count(low, F.lit(f"{_V}+")) + F.regexp_count(low, F.lit(_MUTE_WORD)) - silent
     cjk = F.when(asian | (code == "ko"), cjk_count(text)).otherwise(0)
     return F.when(is_blank(text), 0).otherwise(spoken + cjk)
 
