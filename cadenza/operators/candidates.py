@@ -13,15 +13,13 @@ def expand(items: DataFrame, item: str, source: Column, lang: Column, slot: Colu
 
     Distinctness is by lower-cased, stripped text; the first stays. It is settled inside the row, without a shuffle.
     """
-    options = F.array(
-        F.struct(F.lit(0).alias("pos"), F.lit("full").alias("backend"), source.alias("cand")),
-        F.struct(F.lit(1).alias("pos"), F.lit("first_sentence").alias("backend"), F.regexp_extract(source, r"^[^.?!]*[.?!]?", 0).alias("cand")),
-        F.struct(F.lit(2).alias("pos"), F.lit("first_half").alias("backend"), F.substring(source, F.lit(1), F.floor(F.length(source) / 2).cast("int")).alias("cand")),
-    )
-    key = lambda c: F.lower(text.stripped(c["cand"]))
-    rows = items.select(item, source.alias("source"), lang.alias("lang"), slot.alias("slot"), options.alias("options"))
-    fresh = F.filter("options", lambda c: (key(c) != "") & ~F.exists("options", lambda o: (o["pos"] < c["pos"]) & (key(o) == key(c))))
-    return rows.select(item, "source", "lang", "slot", F.inline(fresh))
+    option = lambda pos, name, cand: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("backend"), cand.alias("cand"), F.lower(text.stripped(cand)).alias("key"))
+    rows = items.select(item, source.alias("source"), lang.alias("lang"), slot.alias("slot"))
+    s = F.col("source")
+    half = F.substring(s, F.lit(1), F.floor(F.length(s) / 2).cast("int"))
+    rows = rows.withColumn("options", F.array(option(0, "full", s), option(1, "first_sentence", F.regexp_extract(s, r"^[^.?!]*[.?!]?", 0)), option(2, "first_half", half)))
+    fresh = F.filter("options", lambda c: (c["key"] != "") & ~F.exists("options", lambda o: (o["pos"] < c["pos"]) & (o["key"] == c["key"])))
+    return rows.select(item, "source", "lang", "slot", F.inline(fresh)).drop("key")
 
 
 def scored(candidates: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cadenza.operators.drift import consistent_table, schema_changes
 from cadenza.operators.timelines import periods_and_gaps
-from cadenza.sources.tables import table
+from cadenza.sources.tables import spread, table
 
 USABLE = """usable AS (
   SELECT DISTINCT workspace_id, idx, seg_uid,
@@ -28,7 +28,7 @@ SELECT workspace_id, speaker, 'merged' AS kind, s AS start_ms, e AS end_ms FROM
 UNION ALL SELECT workspace_id, speaker, 'gap', e, nxt FROM following WHERE nxt IS NOT NULL"""
 
 def p5_found(spark, sf_dir):
-    return schema_changes(table(spark, sf_dir, "raw_record"))
+    return schema_changes(spread(table(spark, sf_dir, "raw_record")))
 
 
 def p5_history(spark, sf_dir):

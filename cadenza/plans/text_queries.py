@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.functions import arrays, keys, scores, text
 from cadenza.operators import candidates
 from cadenza.plans.registry import Registry
-from cadenza.sources.tables import table
+from cadenza.sources.tables import spread, table
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -64,7 +64,7 @@ LANG = "coalesce(target_lang, '')"
     SELECT seg_uid, CAST(syl AS INT) AS syllables, {s_duration('t', 'l', 'syl')} AS seconds FROM n"""
 )
 def str_duration(spark, d):
-    rows = table(spark, d, "timeline_segment").select("seg_uid", "target_text", "target_lang").where("target_text is not null").distinct()
+    rows = spread(table(spark, d, "timeline_segment").select("seg_uid", "target_text", "target_lang").where("target_text is not null")).distinct()
     rows = rows.withColumn("syllables", text.syllables(F.col("target_text"), F.col("target_lang")))
     return rows.select("seg_uid", "syllables", text.duration(F.col("target_text"), F.col("target_lang"), counted=F.col("syllables")).alias("seconds"))
 
@@ -86,7 +86,8 @@ def str_language_codes(spark, d):
     SELECT row_id, array_to_string(list_filter(t, lambda x, i: NOT (i > 1 AND k[i] = k[i-1] AND (coalesce(i > 2 AND k[i] = k[i-2], false) OR coalesce(k[i] = k[i+1], false)))), ' ') AS cleaned FROM l"""
 )
 def str_clean_transcript(spark, d):
-    return table(spark, d, "transcript_segment").where("source_text is not null").select("row_id", text.clean_transcript(F.col("source_text")).alias("cleaned"))
+    rows = spread(table(spark, d, "transcript_segment").select("row_id", "source_text").where("source_text is not null"))
+    return rows.select("row_id", text.clean_transcript(F.col("source_text")).alias("cleaned"))
 
 
 @query()
@@ -312,7 +313,7 @@ CANDIDATES_SQL = f"""WITH d AS (SELECT doc_id, text, lang, regexp_replace(text,
 
 @query(CANDIDATES_SQL)
 def q_best_candidate(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike(r"\S")).select("doc_id", "lang", text.stripped(F.col("text")).alias("src"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).where(F.col("text").rlike(r"\S")).select("doc_id", "lang", text.stripped(F.col("text")).alias("src"))
     return candidates.best_candidates(docs, "doc_id", F.col("src"), F.col("lang"), F.length("src") * 0.06).select("doc_id", "backend", "syllables", "seconds", "score")
 
 
