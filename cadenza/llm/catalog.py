@@ -9,13 +9,24 @@ from cadenza.llm.packing import container_fill, fill_containers
 from cadenza.llm.pairs import main_defect
 from cadenza.llm.runs import event_runs, repeated_runs
 from cadenza.llm.transcripts import clean_turns, turn_bounds
-from cadenza.sources.tables import table
+from cadenza.sources.tables import spread, table
 
 
 def p6_found(spark, sf_dir):
     return repeated_runs(table(spark, sf_dir, "timeline_segment")).select("workspace_id", "first_idx", "last_idx")
 
 
+SEGMENT = ["seg_uid", "language_pair", "source_text", "target_text", "target_lang", "is_non_speech"]
+
+
+def segments(spark, sf_dir):
+    return spread(table(spark, sf_dir, "timeline_segment").select(*SEGMENT))
+
+
+def documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def p2_found(spark, sf_dir):
     return turn_bounds(table(spark, sf_dir, "transcript_segment"), table(spark, sf_dir, "speaker_profile"))
 
@@ -25,15 +36,15 @@ def p2_clean_turns(spark, sf_dir):
 
 
 def p3_found(spark, sf_dir):
-    return language_faults(table(spark, sf_dir, "timeline_segment"), documents=table(spark, sf_dir, "documents")).select("seg_uid", "kind", "lang")
+    return language_faults(segments(spark, sf_dir), documents=documents(spark, sf_dir)).select("seg_uid", "kind", "lang")
 
 
 def p4_found(spark, sf_dir):
-    return main_defect(table(spark, sf_dir, "timeline_segment"), documents=table(spark, sf_dir, "documents"))
+    return main_defect(segments(spark, sf_dir), documents=documents(spark, sf_dir))
 
 
 def p7_containers(spark, sf_dir):
-    return fill_containers(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_spec"))
+    return fill_containers(documents(spark, sf_dir), table(spark, sf_dir, "container_spec"))
 
 
 def p7_fill(spark, sf_dir):
@@ -41,15 +52,15 @@ def p7_fill(spark, sf_dir):
 
 
 def p8_found(spark, sf_dir):
-    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
+    return leaked_items(documents(spark, sf_dir), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
 def p9_found(spark, sf_dir):
-    return repaired_documents(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return repaired_documents(documents(spark, sf_dir)).select("doc_id").distinct()
 
 
 def p9_restored(spark, sf_dir):
-    return repaired_documents(table(spark, sf_dir, "documents"))
+    return repaired_documents(documents(spark, sf_dir))
 
 
 P6_FOUND = """WITH usable AS (
