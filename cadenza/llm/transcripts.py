@@ -87,7 +87,7 @@ def pieces(text: str | None, label: str | None, names: dict[str, str]) -> tuple[
 
 def spoken(raw: str) -> str:
     """The words of a piece without hesitations; '' if none is left."""
-    raw = re.sub(r"^\s*(?:>>+|[-–—])\s*", "", raw.replace("\x01", " ").replace("\n", " "))
+    raw = re.sub(r"^\s*(?:>>+|[-–—])\s*|\s+(?:>>+|[-–—])\s*$", "", raw.replace("\x01", " ").replace("\n", " "))  # turn marks
     words = {w.lower() for w in _TOKEN.findall(raw)}
     kept = []
     tokens = raw.split()
