@@ -11,9 +11,9 @@ QUERIES, ORACLE = query.queries, query.oracle
 
 @query()
 def stream_sessions(spark, d):
-    return events.run_to_table(events.sessions(events.table_stream(spark, d, "events"), "user_id", "ts"), "sessions")
+    return events.run_to_table(events.sessions(events.table_stream(spark, d, "events"), "user_id", "ts", late=None), "sessions", "complete")
 
 
 @query()
 def stream_sliding_rms(spark, d):
-    return events.run_to_table(events.sliding(events.table_stream(spark, d, "events"), "ts", "value"), "sliding")
+    return events.run_to_table(events.sliding(events.table_stream(spark, d, "events"), "ts", "value", late=None), "sliding", "complete")
