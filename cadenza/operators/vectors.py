@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import arrays
+from cadenza.sources.shared import written
 
 
 def _sums(df: DataFrame, label: str, vector: str, salts: int) -> DataFrame:
@@ -66,23 +67,24 @@ def select_k(df: DataFrame, vector: str, ks: range, margin: float = 0.15, sample
     """Clusterings for each k scored by 0.5 silhouette + 0.3 / (1 + Davies-Bouldin) + 0.2 Calinski-Harabasz / (that + 100).
 
     The k with the best score is chosen, the smallest k unless the best leads by ``margin``: k, composite, chosen. Models
-    are fitted on ``sample`` vectors at most; indices are computed from cluster means on the driver, k rows at a time.
+    are fitted on ``sample`` vectors at most, those of the least hashes, whatever the order of the files; every vector is then
+    assigned, and all indices are computed over all vectors, from the means of their clusters.
     """
     import numpy as np
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
-    data = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"), F.transform(vector, lambda x: x.cast("double")).alias("v")).limit(sample)
+    data = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("features", array_to_vector("v"))
+    fitted = written(data.select("v").orderBy(F.xxhash64("v")).limit(sample), "k-sample").select(array_to_vector("v").alias("features"))
     rows = []
     for k in ks:
-        model = KMeans(k=k, seed=7, maxIter=10).fit(data)
-        told = model.transform(data)
-        shape = told.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
-        n = {r["prediction"]: r["n"] for r in shape.collect()}
-        c = np.array(model.clusterCenters())
-        mean = sum(c[i] * n.get(i, 0) for i in range(k)) / max(sum(n.values()), 1)
-        lit = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in c])
+        told = KMeans(k=k, seed=7, maxIter=10).fit(fitted).transform(data)
+        shape = told.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("features")).alias("c")).collect()
+        n, c = {r["prediction"]: r["n"] for r in shape}, {r["prediction"]: r["c"].toArray() for r in shape}
+        mean = sum(c[i] * n[i] for i in n) / max(sum(n.values()), 1)
+        lit = F.array(*[F.array(*[F.lit(float(x)) for x in c.get(i, [])]).cast("array<double>") for i in range(k)])
         off = arrays.energy(F.zip_with("v", F.get(lit, F.col("prediction")), lambda a, b: a - b))
         spread = {r["prediction"]: (r["d"], r["w"]) for r in told.groupBy("prediction").agg(F.avg(F.sqrt(off)).alias("d"), F.sum(off).alias("w")).collect()}
         total, within = sum(n.values()), sum(w for _, w in spread.values())

@@ -156,7 +156,7 @@ def join_gated_merge(spark, d):
 
 @query()
 def clu_select_k(spark, d):
-    return vectors.select_k(table(spark, d, "embeddings"), "embedding", range(2, 5))
+    return vectors.select_k(table(spark, d, "embeddings"), "embedding", range(2, 9))
 
 
 @query(
