@@ -6,7 +6,7 @@ from cadenza.llm.encodings import repaired_documents
 from cadenza.llm.language import language_faults
 from cadenza.llm.leakage import leaked_items
 from cadenza.llm.packing import container_fill, fill_containers
-from cadenza.llm.pairs import main_defect
+from cadenza.llm.pairs import main_defect, pair_defects
 from cadenza.llm.runs import event_runs, repeated_runs
 from cadenza.llm.transcripts import clean_turns, turn_bounds
 from cadenza.sources.tables import spread, table
@@ -43,6 +43,10 @@ def p4_found(spark, sf_dir):
     return main_defect(segments(spark, sf_dir), documents=documents(spark, sf_dir))
 
 
+def p4_defects(spark, sf_dir):
+    return pair_defects(segments(spark, sf_dir), documents=documents(spark, sf_dir))
+
+
 def p7_containers(spark, sf_dir):
     return fill_containers(documents(spark, sf_dir), table(spark, sf_dir, "container_spec"))
 
@@ -74,7 +78,7 @@ numbered AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT workspace_id, arg_min(idx, s * 1000000 + idx) AS first_idx, arg_max(idx, s * 1000000 + idx) AS last_idx
 FROM numbered GROUP BY workspace_id, g HAVING count(*) >= 2"""
 
-QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_defects": p4_defects, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE = {"p6_found": P6_FOUND}
 
 
