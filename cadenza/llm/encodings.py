@@ -31,6 +31,7 @@ _OTHER_CYRILLIC = re.compile("[ЀЂ-Џѐђ-ӿ]")
 _MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
 _IN_WORD = re.compile(r"[A-Za-zЀ-ӿ][^\x00-\x7f–—“”‘’…]|[^\x00-\x7f–—“”‘’…][A-Za-zЀ-ӿ]|[À-ɏ]{2}")
 _INSIDE = re.compile("(?<=[A-Za-z])[…“”—–„⁄](?=[A-Za-z])")
+_DOT = re.compile(r"(?<=[^\W\d_])·|·(?=[^\W\d_])")  # what á, ú become in some wrong readings
 _FLIPPED = re.compile("[а-яёѐ-џ][А-ЯЁЀ-Џ]")
 _SHOUTED = re.compile("(?:[А-ЯЁ]{2,}[^А-Яа-яЁё]+){2}[А-ЯЁ]{2,}")
 _UNCLEAN = re.compile(
@@ -158,7 +159,7 @@ class Dictionaries:
         odd = sum(1 for c in _HIGH.findall(text) if c not in home and not _CYRILLIC.match(c))
         if odd:  # capitals are at home where their small letters are, in words all of capitals
             odd -= sum(1 for w in _TOKEN.findall(text) if len(w) > 1 and w.isupper() for c in w if c > "\x7f" and not _CYRILLIC.match(c) and c not in home and c.lower() in home)
-        odd += len(_INSIDE.findall(text))
+        odd += len(_INSIDE.findall(text)) + len(_DOT.findall(text))
         if _CYRILLIC.search(text):
             for w in _TOKEN.findall(text):
                 if _CYRILLIC.search(w):
@@ -169,15 +170,16 @@ class Dictionaries:
         return odd
 
 
-def repair_segment(segment: str, dicts: Dictionaries, lang: str, depth: int = 3) -> tuple[str, list[str], int]:
+def repair_segment(segment: str, dicts: Dictionaries, lang: str, depth: int = 3, known: set[str] | None = None) -> tuple[str, list[str], int]:
     """(text, chain, bytes gained) of the chain with the least description length; the segment itself if none gains.
 
     Only candidates that are less strange than what they replace are compressed; after a swap of one-byte encodings, where
-    every character changes, at most a third of the strangeness may be left.
+    every character changes, at most a third of the strangeness may be left. With ``known`` (steps that repaired other
+    segments of the text) a segment without any strangeness is tried too, by these steps only.
     """
     chain: list[str] = []
     gained = 0
-    strange = dicts.strange(segment, lang)
+    strange = max(dicts.strange(segment, lang), 1 if known else 0)
     while strange and len(chain) < depth:
         options: dict[str, str] = {}
         limit: dict[str, float] = {}
@@ -193,7 +195,7 @@ def repair_segment(segment: str, dicts: Dictionaries, lang: str, depth: int = 3)
                 if got != segment:
                     options.setdefault(got, f"{true} read as {wrong}")
                     limit.setdefault(got, strange / 3)
-        options = {t: c for t, c in options.items() if dicts.strange(t, lang) <= limit[t] and (lang == "ru" or russian(t) or not _CYRILLIC.search(t))}
+        options = {t: c for t, c in options.items() if (not known or c in known) and dicts.strange(t, lang) <= limit[t] and (lang == "ru" or russian(t) or not _CYRILLIC.search(t))}
         if not options:
             break
         now = dicts.cost(segment, lang)
@@ -225,7 +227,7 @@ def repair(text: str | None, lang: str | None, dicts: Dictionaries) -> tuple[str
     if not text or text.isascii():
         return text, [], 0, False
     lang = dicts.language(text, lang)
-    out, chains, gained, lost = [], [], 0, False
+    out, chains, gained, lost, calm = [], [], 0, False, []
     for seg in segments_of(text):
         if not seg.isascii():
             cited = _CITED.findall(seg)
@@ -242,7 +244,13 @@ def repair(text: str | None, lang: str | None, dicts: Dictionaries) -> tuple[str
                 for c in cited:
                     fixed = fixed.replace("\x00", c, 1)
                 seg = fixed
+            elif not cited and not dicts.strange(seg, lang):
+                calm.append(len(out))
         out.append(seg)
+    if chains:  # wrong characters may all be at home in the language: other segments of a damaged text are tried by its own steps
+        for i in calm:
+            out[i], _, gain = repair_segment(out[i], dicts, lang, known=set(chains))
+            gained += gain
     return "".join(out), list(dict.fromkeys(chains)), gained, lost or bool(chains)
 
 
