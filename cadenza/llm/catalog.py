@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from cadenza.llm.encodings import repaired_documents
 from cadenza.llm.language import language_faults
-from cadenza.llm.leakage import leaked_items
+from cadenza.llm.leakage import leaked_items, reparameterised_items
 from cadenza.llm.packing import container_fill, fill_containers
 from cadenza.llm.pairs import main_defect, pair_defects
 from cadenza.llm.runs import event_runs, repeated_runs
@@ -59,6 +59,10 @@ def p8_found(spark, sf_dir):
     return leaked_items(documents(spark, sf_dir), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
+def p8_reparameterised(spark, sf_dir):
+    return reparameterised_items(documents(spark, sf_dir), table(spark, sf_dir, "eval_item"))
+
+
 def p9_found(spark, sf_dir):
     return repaired_documents(documents(spark, sf_dir)).select("doc_id").distinct()
 
@@ -78,7 +82,7 @@ numbered AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT workspace_id, arg_min(idx, s * 1000000 + idx) AS first_idx, arg_max(idx, s * 1000000 + idx) AS last_idx
 FROM numbered GROUP BY workspace_id, g HAVING count(*) >= 2"""
 
-QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_defects": p4_defects, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_defects": p4_defects, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE = {"p6_found": P6_FOUND}
 
 
