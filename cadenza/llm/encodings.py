@@ -1,8 +1,9 @@
 """Text that was decoded with a wrong character encoding: detection and repair by minimum description length (problem 9).
 
-A chain says which encoding the text was wrongly read in and which one its bytes are in. Each segment of a text is
-compressed as it stands and after every chain that changes it, with a zstandard dictionary of its language; the chain with
-the least bytes, its own cost included, wins, and without a gain the segment stays as it is.
+A step of a chain says which encoding text was wrongly read in and which one its bytes are in. Every candidate decoding of
+every segment that shows a sign of damage is compressed with a zstandard dictionary of its language. For a text the step
+that saves most over all its segments is taken, if it saves more bytes than naming it costs; then the next one is looked
+for. Without a gain the text stays as it is.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = ["en", "pt", "es", "fr", "de", "ru"]
-UTF8_READ_AS = ["cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "cp1250"]
+UTF8_READ_AS = ["cp1252", "cp437", "cp850", "mac_roman", "cp1251", "koi8_r", "cp866", "cp1250", "cp1254", "cp1257", "iso8859_2"]
+#: Encodings of two bytes a character in which UTF-8 may have been read too.
+WIDE = ["shift_jis", "gbk", "big5", "cp949"]
 #: (wrongly read as, really in) for bytes of one-byte encodings.
 SWAPS = [
     ("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1250", "cp1252"), ("cp1253", "cp1252"),
@@ -23,22 +26,28 @@ SWAPS = [
 ]
 USUAL = set("–—“”‘’…·«»•")
 _SEGMENT = re.compile(r"[^\n.?!]*[\n.?!]*[\"”»’')\]]*\s*")
-_CITED = re.compile(r"[“\"«‘'(\[„`][^\sA-Za-z]{1,6}[”\"»’')\]“`]")
+#: What stays as it is: a sequence cited between quotes, the lines of a drawn tree.
+_CITED = re.compile(r"[“\"«‘'(\[„`][^\sA-Za-z]{1,6}[”\"»’')\]“`]|^(?:[ \t]*[│├└]─*[ \t]+)+", re.M)
 _TOKEN = re.compile(r"[^\W\d_]+")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _OTHER_CYRILLIC = re.compile("[ЀЂ-Џѐђ-ӿ]")
+_EAST = re.compile("[\u2e80-\u9fff\uac00-\ud7a3\uff61-\uff9f]")
+_EAST_RUN = re.compile("[^\x00-\x7f]+")
 _MIXED = re.compile("[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]")
-_IN_WORD = re.compile(r"[A-Za-zЀ-ӿ][^\x00-\x7f–—“”‘’…]|[^\x00-\x7f–—“”‘’…][A-Za-zЀ-ӿ]|[À-ɏ]{2}")
 _INSIDE = re.compile("(?<=[A-Za-z])[…“”—–„⁄](?=[A-Za-z])")
 _DOT = re.compile(r"(?<=[^\W\d_])·|·(?=[^\W\d_])")  # what á, ú become in some wrong readings
 _FLIPPED = re.compile("[а-яёѐ-џ][А-ЯЁЀ-Џ]")
+_FLIP = re.compile("[а-яё][А-ЯЁ]|[a-zß-öø-ÿ](?:[À-ÖØ-Þ](?![A-Z])|(?<=[ß-öø-ÿ])[A-Z])")
+_SIGN = re.compile(r"(?<=[^\W\d_])[^\w\s\x00-\x7f’](?=[^\W\d_])")
+_LONE = re.compile(r"(?<![^\W_])(?:[À-ÖØ-öø-ɏ]+|[^\W\d_\x00-\x7f])(?![^\W_])")
 _SHOUTED = re.compile("(?:[А-ЯЁ]{2,}[^А-Яа-яЁё]+){2}[А-ЯЁ]{2,}")
 _UNCLEAN = re.compile(
     "[а-яё][А-ЯЁ]|[a-zß-ÿ][À-ÖØ-Þ]|[A-Za-zÀ-ɏ][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-zÀ-ɏ]|[a-zß-ÿ][^\\w\\s\\x00-\\x7f–—“”’…·»«][a-zß-ÿ]|(?:[А-ЯЁ]{2,}[^А-Яа-яЁё]+){2}[А-ЯЁ]{2,}|[À-ÿ]{6}"
 )
 _HIGH = re.compile(r"[^\x00-\x7f]")
-CHAIN_COST = 1  # a byte tells some thirty chains apart
+#: Bytes that a step costs. UTF-8 sequences prove themselves; a swap of one-byte encodings can turn any rare sign into a letter.
+UTF8_COST, SWAP_COST = 1, 3
 
 
 def memo(f):
@@ -94,8 +103,18 @@ def from_utf8(text: str, encoding: str) -> str:
     return pattern.sub(back, text)
 
 
+def from_wide(text: str, encoding: str) -> str:
+    def back(m: re.Match) -> str:
+        try:
+            return m[0].encode(encoding).decode("utf-8")
+        except UnicodeError:
+            return m[0]
+
+    return _EAST_RUN.sub(back, text)
+
+
 @memo
-def any_run(encodings: tuple[str, ...] = tuple(UTF8_READ_AS)) -> re.Pattern:
+def any_run(encodings: tuple[str, ...]) -> re.Pattern:
     return re.compile("|".join(utf8_runs(e)[0].pattern for e in encodings))
 
 
@@ -104,111 +123,96 @@ def clean_looking(text: str) -> bool:
     return "\ufffd" not in text and not _UNCLEAN.search(text) and not any_run(("cp1252", "cp437", "cp850", "mac_roman")).search(text)
 
 
+def escape(c: str) -> str:
+    """Three bytes, the last two spread so that neighbours in Unicode, such as box drawings, have nothing in common."""
+    h = ord(c) * 40503 & 0xFFFF
+    return "\xff" + chr(h >> 8) + chr(h & 255)
+
+
 class Dictionaries:
     """Per language a zstandard dictionary of raw text and its alphabet (the non-ASCII characters at home in it).
 
     For compression a text becomes one byte per character, so that no encoding's length is preferred: ASCII as it is, the
-    most frequent other characters of the samples as the upper half, anything else as an escape of three bytes.
+    alphabet of the language as the upper half, anything else as an escape of three bytes. ``alphabets`` has for each
+    language its non-ASCII characters by falling frequency; without it the samples are counted.
     """
 
-    def __init__(self, samples: dict[str, list[str]], level: int = 3, size: int = 96_000, common: float = 0.02):
+    def __init__(self, samples: dict[str, list[str]], alphabets: dict[str, list[str]] | None = None, level: int = 3, size: int = 96_000, common: float = 0.02):
         import zstandard as z
 
-        count: Counter = Counter()
         self.alphabet: dict[str, set[str]] = {}
-        for lang, texts in samples.items():
-            here = Counter(c for t in texts for c in set(_HIGH.findall(t)))
-            self.alphabet[lang] = {c for c, n in here.items() if n >= max(2, common * len(texts))}
-            count.update({c: n for c, n in here.items() if c in self.alphabet[lang]})
-        top = [c for c, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:126]]
-        self.code = {ord(c): chr(128 + i) for i, c in enumerate(top)}
+        self.code: dict[str, dict[str, str]] = {}
         self.by: dict[str, z.ZstdCompressor] = {}
         for lang, texts in samples.items():
-            raw = self.bytes_of("\n".join(texts))[:size]
+            home = (alphabets or {}).get(lang)
+            if home is None:
+                home = frequent(Counter(c for t in texts for c in set(_HIGH.findall(t))), len(texts), common)
+            self.alphabet[lang] = set(home)
+            capitals = [c.upper() for c in home if len(c.upper()) == 1 and c.upper() not in self.alphabet[lang]]
+            self.code[lang] = {c: chr(128 + i) for i, c in enumerate([*home, *capitals][:126])}
+            raw = self.bytes_of("\n".join(texts), lang)[:size]
             if len(raw) >= 64:
                 d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(level=level)
                 self.by[lang] = z.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = z.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
 
-    def bytes_of(self, text: str) -> bytes:
+    def bytes_of(self, text: str, lang: str) -> bytes:
         if text.isascii():
             return text.encode("ascii")
-        # what the table leaves above byte 127 and outside the code becomes an escape
-        return _HIGH.sub(lambda m: self._one(m[0]), text).encode("latin-1")
-
-    def _one(self, c: str) -> str:
-        return self.code.get(ord(c)) or "\xff" + chr(ord(c) >> 8 & 255) + chr(ord(c) & 255)
+        code = self.code.get(lang, {})
+        return _HIGH.sub(lambda m: code.get(m[0]) or escape(m[0]), text).encode("latin-1")
 
     def cost(self, text: str, lang: str) -> int:
-        lang = "ru" if "ru" in self.by and russian(text) else lang
-        # a change of script inside a word costs a byte, as a change of alphabet would
-        return len(self.by.get(lang, self.plain).compress(self.bytes_of(text))) + len(_MIXED.findall(text))
+        # what no dictionary says of short texts: a sign or a change of case inside a word costs a byte, a change of script,
+        # a lone letter or a word of accented letters only two
+        if text.isascii():
+            return len(self.by.get(lang, self.plain).compress(text.encode("ascii")))
+        odd = 2 * len(_MIXED.findall(text)) + len(_FLIP.findall(text)) + len(_SIGN.findall(text)) + 2 * len(_LONE.findall(text))
+        return len(self.by.get(lang, self.plain).compress(self.bytes_of(text, lang))) + odd
+
+    def least(self, text: str, langs: set[str], document: str = "") -> int:
+        """Cost in the best of ``langs``; Russian is one where Cyrillic letters prevail or the document is Russian, else none."""
+        langs = {*langs, "ru"} if russian(text) else langs if document == "ru" else langs - {"ru"}
+        return min((self.cost(text, x) for x in langs), default=self.cost(text, ""))
 
     def language(self, text: str, label: str | None) -> str:
         if label in self.by:
             return label
-        raw = self.bytes_of(text)
-        return min(self.by, key=lambda x: (len(self.by[x].compress(raw)), x), default="")
+        own = [x for x in self.by if x != "ru" or russian(text)] or list(self.by)
+        return min(own, key=lambda x: (self.cost(text, x), x), default="")
 
     def strange(self, text: str, lang: str) -> int:
-        """Signs of a wrong encoding: characters foreign to the language, words of two scripts, inverted case."""
+        """Signs of a wrong encoding: characters foreign to the language, words of two scripts, inverted case. They only say
+        where to look, and settle ties."""
         if text.isascii():
             return 0
         home = self.alphabet.get(lang, set()) | USUAL
-        odd = sum(1 for c in _HIGH.findall(text) if c not in home and not _CYRILLIC.match(c))
+        odd = sum(1 for c in _HIGH.findall(text) if c not in home and not _CYRILLIC.match(c)) if not home.issuperset(_HIGH.findall(text)) else 0
         if odd:  # capitals are at home where their small letters are, in words all of capitals
             odd -= sum(1 for w in _TOKEN.findall(text) if len(w) > 1 and w.isupper() for c in w if c > "\x7f" and not _CYRILLIC.match(c) and c not in home and c.lower() in home)
         odd += len(_INSIDE.findall(text)) + len(_DOT.findall(text))
         if _CYRILLIC.search(text):
-            for w in _TOKEN.findall(text):
-                if _CYRILLIC.search(w):
-                    if _LATIN.search(w):
-                        odd += 1
-                    odd += len(_FLIPPED.findall(w)) + len(_OTHER_CYRILLIC.findall(w))
-            odd += len(_SHOUTED.findall(text))
+            odd += len(_MIXED.findall(text)) + len(_FLIPPED.findall(text)) + len(_OTHER_CYRILLIC.findall(text)) + len(_SHOUTED.findall(text))
         return odd
 
 
-def repair_segment(segment: str, dicts: Dictionaries, lang: str, depth: int = 3, known: set[str] | None = None) -> tuple[str, list[str], int]:
-    """(text, chain, bytes gained) of the chain with the least description length; the segment itself if none gains.
+def frequent(counts: Counter, n: int, common: float) -> list[str]:
+    """Characters that a share ``common`` of ``n`` texts holds, two texts at least, by falling frequency."""
+    return [c for c, k in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if k >= max(2, common * n)]
 
-    Only candidates that are less strange than what they replace are compressed; after a swap of one-byte encodings, where
-    every character changes, at most a third of the strangeness may be left. With ``known`` (steps that repaired other
-    segments of the text) a segment without any strangeness is tried too, by these steps only.
-    """
-    chain: list[str] = []
-    gained = 0
-    strange = max(dicts.strange(segment, lang), 1 if known else 0)
-    while strange and len(chain) < depth:
-        options: dict[str, str] = {}
-        limit: dict[str, float] = {}
-        if any_run().search(segment):
-            for e in UTF8_READ_AS:
-                got = from_utf8(segment, e)
-                if got != segment:
-                    options.setdefault(got, f"utf-8 read as {e}")
-                    limit[got] = strange - 1
-        if not chain and _IN_WORD.search(segment):
-            for wrong, true in SWAPS:
-                got = segment.translate(swap(wrong, true))
-                if got != segment:
-                    options.setdefault(got, f"{true} read as {wrong}")
-                    limit.setdefault(got, strange / 3)
-        options = {t: c for t, c in options.items() if (not known or c in known) and dicts.strange(t, lang) <= limit[t] and (lang == "ru" or russian(t) or not _CYRILLIC.search(t))}
-        if not options:
-            break
-        now = dicts.cost(segment, lang)
-        left = {t: dicts.cost(t, lang) for t in options}
-        best = min(options, key=lambda t: (left[t], dicts.strange(t, lang), t))
-        gain = now - left[best] - CHAIN_COST
-        if gain < 0:
-            break
-        chain.append(options[best])
-        gained += gain
-        segment = best
-        strange = dicts.strange(segment, lang)
-    return segment, chain, gained
+
+def decodings(segment: str) -> dict[str, str]:
+    """Text of a segment after each step that changes it."""
+    out: dict[str, str] = {}
+    for e in UTF8_READ_AS:
+        if utf8_runs(e)[0].search(segment):
+            out[f"utf-8 read as {e}"] = from_utf8(segment, e)
+    if _EAST.search(segment):
+        out |= {f"utf-8 read as {e}": from_wide(segment, e) for e in WIDE}
+    for wrong, true in SWAPS:
+        out[f"{true} read as {wrong}"] = segment.translate(swap(wrong, true))
+    return {step: t for step, t in out.items() if t != segment}
 
 
 def russian(text: str) -> bool:
@@ -219,51 +223,101 @@ def segments_of(text: str) -> list[str]:
     return [m[0] for m in _SEGMENT.finditer(text) if m[0]]
 
 
-def repair(text: str | None, lang: str | None, dicts: Dictionaries) -> tuple[str | None, list[str], int, bool]:
-    """(text with repaired segments, chains used, bytes gained, damaged).
+def repair(text: str | None, label: str | None, dicts: Dictionaries, depth: int = 4) -> tuple[str | None, list[str], int, bool]:
+    """(text with repaired segments, chain of steps, bytes gained, damaged).
 
-    A sequence that is only cited between quotes stays. Lost characters (U+FFFD) are damage that can't be restored.
+    A sequence that is only cited between quotes stays. Lost characters (U+FFFD) are damage that can't be restored: any
+    letter of the language in their place would be described in fewer bytes.
     """
-    if not text or text.isascii():
+    if not text or text.isascii() or not dicts.by:
+        return text, [], 0, False
+    lang = dicts.language(text, label)
+    if "\ufffd" not in text and not dicts.strange(text, lang):
         return text, [], 0, False
-    lang = dicts.language(text, lang)
-    out, chains, gained, lost, calm = [], [], 0, False, []
-    for seg in segments_of(text):
-        if not seg.isascii():
-            cited = _CITED.findall(seg)
-            bare = _CITED.sub("\x00", seg) if cited else seg
-            lost = lost or "\ufffd" in bare
-            here = lang
-            if dicts.strange(bare, lang) and dicts.by:
-                here = dicts.language(bare, None)  # a passage in another language than its document's
-                here = here if not dicts.strange(bare, here) else lang
-            fixed, chain, gain = repair_segment(bare, dicts, here)
-            if chain:
-                chains += chain
-                gained += gain
-                for c in cited:
-                    fixed = fixed.replace("\x00", c, 1)
-                seg = fixed
-            elif not cited and not dicts.strange(seg, lang):
-                calm.append(len(out))
-        out.append(seg)
-    if chains:  # wrong characters may all be at home in the language: other segments of a damaged text are tried by its own steps
-        for i in calm:
-            out[i], _, gain = repair_segment(out[i], dicts, lang, known=set(chains))
-            gained += gain
-    return "".join(out), list(dict.fromkeys(chains)), gained, lost or bool(chains)
+    parts = segments_of(text)
+    cited = {i: _CITED.findall(p) for i, p in enumerate(parts) if not p.isascii()}
+    now = {i: _CITED.sub("\x00", parts[i]) if quotes else parts[i] for i, quotes in cited.items()}
+    lost = sum(dicts.cost(t, lang) - dicts.cost(t.replace("\ufffd", "e"), lang) for t in now.values() if "\ufffd" in t)
+    langs: dict[int, set[str]] = {}
+    cost: dict[int, int] = {}
+    chain: list[str] = []
+    gained = 0
+
+    def price(i: int) -> int:
+        if i not in cost:
+            langs[i] = {lang, dicts.language(now[i], None)}  # a passage may be in another language than its document
+            cost[i] = dicts.least(now[i], langs[i], lang)
+        return cost[i]
+
+    def saves(i: int, t: str) -> int:
+        return price(i) - dicts.least(t, langs[i], lang)
+
+    while len(chain) < depth:
+        total: Counter = Counter()
+        left: Counter = Counter()
+        for i, t in now.items():
+            if dicts.strange(t, lang):
+                told: dict[str, int] = {}
+                for step, got in decodings(t).items():
+                    if got not in told:
+                        told[got] = saves(i, got)
+                    if told[got] > 0:
+                        total[step] += told[got]
+                        left[step] -= dicts.strange(t, lang) - dicts.strange(got, lang)
+        net = {step: n - (UTF8_COST if step.startswith("utf-8") else SWAP_COST) for step, n in total.items()}
+        step = min(net, key=lambda x: (-net[x], left[x], x), default=None)
+        if step is None or net[step] <= 0:
+            break
+        chain.append(step)
+        for i, t in now.items():  # also where no sign shows: wrong characters may all be at home in the language
+            got = decodings(t).get(step)
+            if got is not None and (more := saves(i, got)) > 0:
+                now[i] = got
+                cost[i] -= more
+                gained += more
+    for i, t in now.items():
+        for c in cited[i]:
+            t = t.replace("\x00", c, 1)
+        parts[i] = t
+    return "".join(parts), list(dict.fromkeys(chain)), gained, lost > 0 or bool(chain)
+
+
+def home_alphabets(documents: DataFrame, common: float = 0.02) -> dict[str, list[str]]:
+    """Non-ASCII characters that a share ``common`` of a language's clean-looking documents hold, counted over all of them.
+
+    What is collected has one row per language and character of Unicode at most.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            count: Counter = Counter()
+            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                high = "" if text.isascii() else set(_HIGH.findall(text))
+                if not high or clean_looking(text):
+                    count[lang, ""] += 1
+                    count.update((lang, c) for c in high)
+            rows = [(lang, c, n) for (lang, c), n in count.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "c", "n"])
+
+    rows = documents.select("text", F.lower("lang").alias("lang")).where(F.col("lang").isin(LANGUAGES) & F.col("text").isNotNull())
+    found = rows.mapInArrow(run, "lang string, c string, n bigint").groupBy("lang", "c").agg(F.sum("n").alias("n")).collect()
+    total = {r["lang"]: r["n"] for r in found if not r["c"]}
+    return {lang: frequent(Counter({r["c"]: r["n"] for r in found if r["c"] and r["lang"] == lang}), n, common) for lang, n in total.items()}
 
 
 def sample_texts(documents: DataFrame, per_language: int = 400, longest: int = 4000) -> dict[str, list[str]]:
-    """Bounded sample for the dictionaries: at most ``per_language`` clean-looking texts of up to ``longest`` characters each."""
-    rows = documents.select("text", F.lower("lang").alias("lang")).where(F.col("lang").isin(LANGUAGES) & (F.length("text") <= longest))
+    """Bounded sample for the dictionaries: ``per_language`` clean-looking texts at most, of each ``longest`` characters at most."""
+    rows = documents.select("text", F.lower("lang").alias("lang")).where(F.col("lang").isin(LANGUAGES) & F.col("text").isNotNull())
     rows = rows.withColumn("h", F.xxhash64("text"))
     picked = rows.groupBy("lang", F.pmod("h", F.lit(per_language)).alias("slot")).agg(F.min("h").alias("h")).select("h").distinct()
     keys = [(r["h"],) for r in picked.collect()]  # per_language x languages longs
     if not keys:
         return {}
     wanted = rows.sparkSession.createDataFrame(keys, "h bigint")
-    found = rows.join(F.broadcast(wanted), "h", "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    found = rows.join(F.broadcast(wanted), "h", "left_semi").groupBy("lang", "h").agg(F.min(F.left("text", F.lit(longest))).alias("text"))
     out: dict[str, list[str]] = {}
     for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"])):
         if clean_looking(r["text"]):
@@ -276,15 +330,17 @@ def repaired_documents(documents: DataFrame, samples: dict[str, list[str]] | Non
 
     ``lost`` says that characters are gone for good (U+FFFD). Null, blank and ASCII texts, and texts that only cite a
     damaged sequence between quotes or rightly use rare characters, are left out; an unknown or null ``lang`` is guessed by
-    compression; a doc_id delivered twice with equal text gives one row; whole texts are read, whatever their length; an
+    compression; the dictionaries hold 96 kB a language, from ``per_language`` texts of 4,000 characters each at most; the
+    alphabets are counted over all documents; a doc_id delivered twice with equal text gives one row; whole texts are read, whatever their length; an
     empty table gives an empty result; extra columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(sample_texts(documents, per_language) if samples is None else samples)
+    told = (sample_texts(documents, per_language), home_alphabets(documents)) if samples is None else (samples, None)
+    shared = documents.sparkSession.sparkContext.broadcast(told)
 
     def run(batches):
         import pyarrow as pa
 
-        dicts = Dictionaries(shared.value)
+        dicts = Dictionaries(*shared.value)
         for b in batches:
             rows = []
             for doc, text, lang in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):

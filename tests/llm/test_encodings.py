@@ -34,6 +34,20 @@ def test_round_trip(lang, true, wrong):
     assert fixed == text
 
 
+@pytest.mark.parametrize("wrong", ["gbk", "cp949", "cp1257", "iso8859_2", "cp1254"])
+def test_other_encodings_in_which_utf8_was_read(wrong):
+    text = "Die Übersetzung gehört zum Gespräch."
+    raw = text.encode("utf-8")
+    damaged = raw.decode(wrong) if wrong in ("gbk", "cp949") else misread(text, "utf-8", wrong)
+    assert repair(damaged, "de", DICTS)[0] == text
+
+
+def test_only_a_gain_repairs_and_it_is_reported():
+    fixed, chain, gained, damaged = repair("Niemand mag die Ãœbersetzung.", "de", DICTS)
+    assert fixed == "Niemand mag die Übersetzung." and chain and gained > 0 and damaged
+    assert repair("ZZ÷ZZ", "de", DICTS) == ("ZZ÷ZZ", [], 0, False)
+
+
 def test_twice_damaged_and_partly_damaged():
     text = "A gravação não combina com a imagem."
     twice = misread(misread(text, "utf-8", "cp1252"), "utf-8", "cp1252")
