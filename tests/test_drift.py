@@ -1,7 +1,7 @@
 import datetime as dt
 import json
 
-from cadenza.operators.drift import consistent_table, leaves_of, parse, promoted, schema_changes, union_schema
+from cadenza.operators.drift import Layout, consistent_table, leaves_of, parse, promoted, read_entries, schema_changes, union_schema
 
 RAW = "record_id bigint, file_id bigint, series_id string, kind string, file_path string, written_at timestamp, line_no int, payload string"
 
@@ -51,11 +51,31 @@ def test_unreadable_and_empty(spark):
 def test_lattice_and_table(spark):
     assert [promoted(m) for m in (0, 1, 4, 8, 9, 5, 3, 2)] == ["string", "double", "boolean", "string", "double", "string", "string", "string"]
     df = raw(spark, [(1, "s", "history", [entry(0), entry(1, took=1)]), (2, "s", "history", [entry(1, took="2.5"), {"iteration": 2, "parameters": {"flag": "maybe"}}])])
-    assert dict(union_schema(df, "history")) == {"iteration": "double", "parameters/a.b": "double", "parameters/flag": "string", "score": "double", "took": "double"}
+    assert dict(union_schema(read_entries(df))[0]) == {"iteration": "double", "parameters/a.b": "double", "parameters/flag": "string", "score": "double", "took": "double"}
     rows = {(r.file_id, r.entry): r for r in consistent_table(df, "history").collect()}
     assert rows[(2, "1")]["took"] == 2.5 and rows[(1, "0")]["took"] is None and rows[(2, "2")]["parameters/flag"] == "maybe" and len(rows) == 4
 
 
+def test_a_renamed_field_keeps_its_values(spark):
+    df = raw(spark, [(1, "s", "history", [entry(0, version=1)]), (2, "s", "history", [{**entry(0), "schemaVersion": 2}])])
+    assert found(schema_changes(df)) == {(2, "removed", "version", ""), (2, "added", "schemaVersion", "")}
+
+
+def test_a_value_that_becomes_a_list_changes_its_type(spark):
+    df = raw(spark, [(1, "s", "history", [entry(0, tags="a")]), (2, "s", "history", [entry(0, tags=["a"])]), (3, "s", "history", [entry(0, labels=["a"])]), (4, "s", "history", [entry(0, labels=[])])])
+    assert found(schema_changes(df)) == {(2, "type_changed", "tags", ""), (3, "renamed", "tags", "labels"), (4, "removed", "labels", "")}
+    rows = consistent_table(raw(spark, [(1, "s", "history", [entry(0, labels=["a", "b"])])]), "history").collect()
+    assert rows[0]["labels"] == ["a", "b"]
+
+
+def test_other_layouts_and_wide_tables(spark):
+    layout = Layout("run", {"items": "name"}, ("teams",))
+    one, two = {"run": 1, "items": [{"name": "a", "x": 1}, {"name": "b", "x": 2}]}, {"run": 1, "items": [{"name": "b", "y": 2}, {"name": "a", "y": 1}]}
+    assert found(schema_changes(raw(spark, [(1, "s", "k", [one]), (2, "s", "k", [two])]), layout)) == {(2, "renamed", "items/x", "items/y")}
+    wide = consistent_table(raw(spark, [(1, "s", "k", [{"run": 1, "a": 1, "b": 2}, {"run": 2, "a": 3}])]), "k", layout, widest=2)
+    assert [(r.a, r.run, r.more_fields) for r in wide.orderBy("run").collect()] == [(1.0, 1.0, {"b": "2"}), (3.0, 2.0, {})]
+
+
 def test_leaves_and_parse():
     assert parse('{"a": NaN}') is not None and parse("7") is None and parse("[" * 100000) is None
     assert ("stages/*/outputs/path", "|mix|1", "q") in leaves_of({"stages": {"mix": {"outputs": [{"path": "p"}, {"path": "q"}]}}})
