@@ -1,9 +1,12 @@
+import itertools
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cadenza.llm.packing import TOKENIZER, Plan, container_fill, fill_containers, ranked, token_counts
+from cadenza.llm.packing import TOKENIZER, Plan, Sums, container_fill, fill_containers, ranked, token_counts
 
 DOCS = "doc_id bigint, text string, lang string"
 SPECS = "spec_id int, spec_name string, capacity_tokens int"
@@ -41,6 +44,27 @@ def test_plans_use_every_item_once_and_stay_near_the_bound():
     assert check({i: 1000 for i in range(1, 257)}, 512) <= math.ceil(1000 * 256 * 257 / 2 / 512) + 1
 
 
+def test_index_of_sums_against_all_combinations():
+    rng = random.Random(2)
+    for _ in range(60):
+        left = np.zeros(41, dtype=np.int64)
+        for _ in range(rng.randint(0, 9)):
+            left[rng.randint(1, 40)] = rng.choice([1, 1, 2, 5])
+        sums = Sums(left)
+        for _ in range(6):
+            stock = [x for x in range(41) for _ in range(min(int(left[x]), 3))]
+            for parts in (1, 2, 3):
+                can = {sum(c) for c in itertools.combinations(stock, parts)}
+                for gap in range(1, 41):
+                    got = sums.filling(gap, parts, {})
+                    assert (got is not None) == (gap in can)
+                    if got:
+                        assert sum(got) == gap and len(got) == parts and all(got.count(x) <= left[x] for x in got)
+            there = np.flatnonzero(left)
+            if len(there):
+                left[rng.choice(there.tolist())] -= 1
+
+
 def test_places_are_a_bijection():
     plan = Plan({5: 3, 3: 4, 2: 9}, 8)
     seats = {}
@@ -54,7 +78,7 @@ def test_places_are_a_bijection():
 def test_ranks_count_each_value_once(spark):
     df = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(300)], "k bigint, v bigint")
     got = {}
-    for r in ranked(df, "v", "k", 8).collect():
+    for r in ranked(df.withColumn("salts", F.lit(8)), ["v"], ["k"]).collect():
         got.setdefault(r.v, []).append(r["rank"])
     assert all(sorted(x) == list(range(len(x))) for x in got.values())
 
