@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cadenza.llm.encodings import repaired_documents
-from cadenza.llm.language import language_faults
+from cadenza.llm.language import language_faults, text_languages
 from cadenza.llm.leakage import leaked_items, reparameterised_items
 from cadenza.llm.packing import container_fill, fill_containers
 from cadenza.llm.pairs import main_defect, pair_defects
@@ -36,15 +36,19 @@ def p2_clean_turns(spark, sf_dir):
 
 
 def p3_found(spark, sf_dir):
-    return language_faults(segments(spark, sf_dir), documents=documents(spark, sf_dir)).select("seg_uid", "kind", "lang")
+    return language_faults(segments(spark, sf_dir)).select("seg_uid", "kind", "lang")
+
+
+def p3_languages(spark, sf_dir):
+    return text_languages(segments(spark, sf_dir))
 
 
 def p4_found(spark, sf_dir):
-    return main_defect(segments(spark, sf_dir), documents=documents(spark, sf_dir))
+    return main_defect(segments(spark, sf_dir))
 
 
 def p4_defects(spark, sf_dir):
-    return pair_defects(segments(spark, sf_dir), documents=documents(spark, sf_dir))
+    return pair_defects(segments(spark, sf_dir))
 
 
 def p7_containers(spark, sf_dir):
@@ -82,7 +86,7 @@ numbered AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY
 SELECT workspace_id, arg_min(idx, s * 1000000 + idx) AS first_idx, arg_max(idx, s * 1000000 + idx) AS last_idx
 FROM numbered GROUP BY workspace_id, g HAVING count(*) >= 2"""
 
-QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p4_found": p4_found, "p4_defects": p4_defects, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_clean_turns": p2_clean_turns, "p3_found": p3_found, "p3_languages": p3_languages, "p4_found": p4_found, "p4_defects": p4_defects, "p6_found": p6_found, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLE = {"p6_found": P6_FOUND}
 
 

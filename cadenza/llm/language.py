@@ -1,12 +1,14 @@
 """Language of documents and of their mixed-language segments (problem 3).
 
 Nearest-centroid classification: hashed character n-grams, TF-IDF weighted and length-normalised, are compared by cosine
-with several centroids per language; a text too far from every centroid gets no language.
+with several centroids per language; a text too far from every centroid for its length, or written with letters that its
+nearest language does not have, gets no language.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -26,6 +28,7 @@ SPELLINGS = {
 OTHER_CODES = ["it", "nl", "sv", "da", "no", "nb", "fi", "pl", "cs", "sk", "hu", "ro", "bg", "el", "tr", "uk", "sr", "hr", "ar", "he", "fa", "hi", "ja", "ko", "zh", "vi", "th", "id", "ca", "gl", "eu", "la"]
 
 BITS = 15
+WORD_CLASSES = [6, 9, 13]  # words from which on texts have a floor of their own
 _SPLIT = re.compile(r"(?<=[.?!…])[\"”»’']*\s+|\s+[—–]\s+|[\n;]+")
 _QUOTED = re.compile(r"“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
@@ -81,18 +84,33 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class LanguageModel:
-    """Centroids by language. ``weights`` is (buckets, centroids), already of unit length and multiplied by IDF."""
+    """Centroids by language, of unit length and multiplied by IDF: (buckets, centroids).
 
-    def __init__(self, idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, reject: float):
+    ``reject`` is the least cosine of any text, ``floors`` the least score (cosine, raised by the lead over the second
+    language) by number of words, ``letters`` those at home in each language.
+    """
+
+    def __init__(self, idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, reject: float, floors: list[float] | None = None, letters: list[set[str]] | None = None):
         self.idf, self.centroids, self.owner, self.reject = idf, centroids, owner, reject
+        self.floors, self.letters = floors or [0.0] * (len(WORD_CLASSES) + 1), letters
+
+    def near(self, text: str, lang: int, words: int, cosine: float, lead: float) -> bool:
+        """Whether a text is near enough to its nearest language. Short texts are held to the cosine only."""
+        if cosine < self.reject or cosine * (1 + lead) < self.floors[bisect_right(WORD_CLASSES, words)]:
+            return False
+        if self.letters is None or words < WORD_CLASSES[0]:
+            return True
+        foreign = [c for c in text.lower() if c > "\x7f" and c not in self.letters[lang] and c.isalpha()]
+        return len(foreign) < 2 or len(foreign) * 33 < len(text)
 
     @classmethod
-    def fit(cls, labelled: list[tuple], per_language: int = 4, rounds: int = 6, reject: float | None = None) -> LanguageModel:
+    def fit(cls, labelled: list[tuple], per_language: int = 4, rounds: int = 6, reject: float | None = None, share: float = 0.2) -> LanguageModel:
         """Spherical k-means inside each language. ``labelled``: (language, text[, count]); unknown languages are ignored.
 
         A text under several labels keeps its most frequent one. Labels may be wrong: a text that is clearly nearer to the
         mean of another language leaves the sample before clustering. The first cluster of a language starts from its texts
-        of five words or fewer, which lie far from whole sentences.
+        of five words or fewer, which lie far from whole sentences. A tenth of the texts is held out of the means to find
+        how near texts of a length usually are: the floor is ``share`` of the median score.
         """
         label: dict[str, tuple[int, str]] = {}
         for lang, t, *count in labelled:
@@ -117,6 +135,7 @@ class LanguageModel:
             return (flat / (np.sqrt((flat * flat).sum(axis=0)) + 1e-9)).astype(np.float32)
 
         every = np.ones(n, dtype=bool)
+        held = np.arange(n) % 10 == 9  # of texts in order, kept aside to calibrate the floors
         plain = _project(doc, bucket, w, means(code, len(LANGUAGES), every), n)
         use = plain[np.arange(n), code] >= 0.75 * plain.max(axis=1)
         short = np.array([len(_WORD.findall(t)) <= 5 for t in texts])
@@ -126,9 +145,25 @@ class LanguageModel:
             sims = _project(doc, bucket, w, means(cluster, len(owner), use), n)
             sims[owner[None, :] != code[:, None]] = -1
             cluster = sims.argmax(axis=1)
+        known = use & ~held if (use & ~held).any() else use
+        sims = _project(doc, bucket, w, means(cluster, len(owner), known), n)
+        by = np.stack([sims[:, owner == i].max(axis=1) for i in range(len(LANGUAGES))], axis=1)
+        rest = by.copy()
+        rest[np.arange(n), code] = -1
+        score = by[np.arange(n), code] + np.maximum(by[np.arange(n), code] - rest.max(axis=1), 0)
+        words = np.searchsorted(WORD_CLASSES, [len(_WORD.findall(t)) for t in texts], "right")
+        floors = [0.0] * (len(WORD_CLASSES) + 1)
+        for c in range(1, len(floors)):
+            mine = score[use & held & (words == c)]
+            floors[c] = share * float(np.median(mine)) if len(mine) >= 20 else floors[c - 1]
+        letters = [Counter() for _ in LANGUAGES]
+        for t, i, ok in zip(texts, code.tolist(), use.tolist(), strict=True):
+            if ok:
+                letters[i].update(c for c in t.lower() if c > "\x7f")
+        home = [{c for c, k in x.items() if k >= 1e-4 * sum(x.values())} for x in letters]
         centroids = means(cluster, len(owner), use)
         own = _project(doc, bucket, w, centroids, n).max(axis=1)
-        return cls(idf, centroids, owner, float(np.quantile(own[use], 0.001)) * 0.6 if reject is None else reject)
+        return cls(idf, centroids, owner, float(np.quantile(own[use], 0.001)) * 0.6 if reject is None else reject, floors, home)
 
     def similarities(self, texts: list[str]) -> np.ndarray:
         """Greatest cosine per language, (texts, languages)."""
@@ -178,22 +213,23 @@ def segment_languages(model: LanguageModel, texts: list[str | None], min_words:
     rest[every, first] = -1
     lead = ((best - rest.max(axis=1)) / np.maximum(best, 1e-9)).tolist()
     first, best = first.tolist(), best.tolist()
+    lengths = [len(_WORD.findall(c)) for c in flat]
+    near = [model.near(*x) for x in zip(flat, first, lengths, best, lead, strict=True)]
     out: list[list[tuple[str, float, str]]] = []
     at = 0
     for t, p in zip(texts, parts, strict=True):
         i, at = at, at + len(p)
-        if not p or max(best[i:at]) < model.reject:
+        if not any(near[i:at]):
             out.append([])
         elif not _LOWER.search(t) and (len(_LONG.findall(t)) < 2 or (not t.isupper() and max(lead[i:at]) < name_margin)):
             out.append([])
         elif len(p) == 1:
             out.append([(LANGUAGES[first[i]], 0.5 + lead[i] / 2, p[0])])
         else:
-            lengths = [len(_WORD.findall(c)) for c in p]
-            main = int((sims[i:at].T @ np.array(lengths, dtype=np.float32)).argmax())
+            main = int((sims[i:at].T @ np.array(lengths[i:at], dtype=np.float32)).argmax())
             found: list[tuple[str, float, str]] = []
             for k, c in enumerate(p, i):
-                sure = lengths[k - i] >= min_words and lead[k] >= margin and best[k] >= model.reject
+                sure = lengths[k] >= min_words and lead[k] >= margin and near[k]
                 lang = first[k] if sure else main
                 others = np.delete(sims[k], lang).max()
                 conf = float(np.clip(0.5 + (sims[k, lang] - others) / (2 * max(best[k], 1e-9)), 0.0, 1.0))
@@ -224,33 +260,25 @@ def labelled_sample(rows: DataFrame, per_language: int = 2000) -> list[tuple[str
     return [(r["lang"], r["t"], r["n"]) for r in counted.collect()]
 
 
-def fit_languages(segments: DataFrame, per_language: int = 2000, documents: DataFrame | None = None, enough: int = 200) -> LanguageModel:
-    """Model from the segments' sources, whose language the pair states.
+def fit_languages(segments: DataFrame, per_language: int = 2000) -> LanguageModel:
+    """Model from the segments' sources, whose language the pair states, and the targets whose label agrees with the pair.
 
-    Languages with fewer than ``enough`` texts there are learnt from targets whose label agrees with the pair and from the
-    sentences of labelled ``documents`` too.
+    ``per_language`` bounds the texts that are collected; which are taken depends on all rows.
     """
     side = lambda i: base_code(F.get(F.split("language_pair", "->"), F.lit(i)))
-    found = labelled_sample(segments.select(F.col("source_text").alias("t"), side(0).alias("lang")), per_language)
-    many = Counter(lang for lang, _, _ in found)
-    rare = [x for x in LANGUAGES if many[x] < enough]
-    if rare:
-        targets = segments.where((label_language(F.col("target_lang")) == side(1)) & side(1).isin(rare))
-        found += labelled_sample(targets.select(F.col("target_text").alias("t"), side(1).alias("lang")), per_language)
-    if rare and documents is not None:
-        sentences = documents.where(F.lower("lang").isin(rare)).select(F.explode(F.split("text", r"(?<=[.?!…])\s+|\n+")).alias("t"), F.lower("lang").alias("lang"))
-        found += labelled_sample(sentences.where(F.length("t").between(20, 400)), per_language)
-    return LanguageModel.fit(found)
+    target = F.when(label_language(F.col("target_lang")) == side(1), side(1))
+    rows = segments.select(F.explode(F.array(F.struct(F.col("source_text").alias("t"), side(0).alias("lang")), F.struct(F.col("target_text").alias("t"), target.alias("lang")))).alias("x"))
+    return LanguageModel.fit(labelled_sample(rows.select("x.t", "x.lang"), per_language))
 
 
 def base_code(code: Column) -> Column:
     return F.lower(F.regexp_extract(F.trim(code), r"^(\p{L}{2})(?:[_\-].*)?$", 1))
 
 
-def with_languages(df: DataFrame, model: LanguageModel, text: str, batch_columns: list[str]) -> DataFrame:
+def with_languages(df: DataFrame, model: LanguageModel, text: str, batch_columns: list[str], least: int = 2) -> DataFrame:
     """``batch_columns`` plus ``langs`` (codes of the text's segments, joined by commas, '' if none), ``confidence`` (least
-    over segments) and ``segments`` (array of language, confidence, text)."""
-    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.owner, model.reject))
+    over segments) and ``segments`` (array of language, confidence, text; empty if there are fewer than ``least``)."""
+    shared = df.sparkSession.sparkContext.broadcast((model.idf, model.centroids, model.owner, model.reject, model.floors, model.letters))
     kept = df.select(*batch_columns, F.col(text).alias("_t"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "_t")
 
@@ -267,7 +295,7 @@ def with_languages(df: DataFrame, model: LanguageModel, text: str, batch_columns
                     pa.array([",".join(dict.fromkeys(x[0] for x in f)) for f in found], pa.string()),
                     pa.array([min((x[1] for x in f), default=0.0) for f in found], pa.float64()),
                     pa.array(
-                        [[{"lang": a, "confidence": c, "text": t} for a, c, t in f] if len(f) > 1 else [] for f in found],
+                        [[{"lang": a, "confidence": c, "text": t} for a, c, t in f] if len(f) >= least else [] for f in found],
                         pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("text", pa.string())])),
                     ),
                 ],
@@ -277,15 +305,31 @@ def with_languages(df: DataFrame, model: LanguageModel, text: str, batch_columns
     return kept.mapInArrow(run, f"{fields}, langs string, confidence double, segments array<struct<lang: string, confidence: double, text: string>>")
 
 
-def language_faults(segments: DataFrame, model: LanguageModel | None = None, per_language: int = 2000, documents: DataFrame | None = None) -> DataFrame:
+def speech_of(segments: DataFrame) -> DataFrame:
+    return segments.where(~F.coalesce(F.col("is_non_speech"), F.lit(False)) & F.col("target_text").isNotNull())
+
+
+def text_languages(segments: DataFrame, model: LanguageModel | None = None, per_language: int = 2000) -> DataFrame:
+    """Language of every speech text and of each of its parts: seg_uid, part, lang, confidence, part_text.
+
+    Neighbouring clauses of one language are one part (0, 1, ...). A text near no language has one row with a null ``lang``
+    and confidence 0. Null texts and non-speech rows are left out; a text delivered again unchanged gives its parts once.
+    """
+    rows = speech_of(segments).select("seg_uid", "target_text", "language_pair", "target_lang", "source_text").dropDuplicates(["seg_uid", "target_text"])
+    found = with_languages(rows, model or fit_languages(speech_of(segments), per_language), "target_text", ["seg_uid"], least=1)
+    parts = found.select("seg_uid", F.posexplode_outer("segments").alias("part", "s"))
+    return parts.select("seg_uid", F.coalesce("part", F.lit(0)).alias("part"), "s.lang", F.coalesce("s.confidence", F.lit(0.0)).alias("confidence"), F.col("s.text").alias("part_text"))
+
+
+def language_faults(segments: DataFrame, model: LanguageModel | None = None, per_language: int = 2000) -> DataFrame:
     """Speech rows whose label is missing or wrong or whose text mixes languages: seg_uid, kind, lang, confidence.
 
     Null, blank and name-only texts, and non-speech rows, are no case; a null ``is_non_speech`` counts as speech; repeated
     deliveries give one row; extra columns are ignored; an empty table gives an empty result. The model is fitted on
     ``per_language`` labelled rows per language unless one is given.
     """
-    speech = segments.where(~F.coalesce(F.col("is_non_speech"), F.lit(False)) & F.col("target_text").isNotNull())
-    model = model or fit_languages(speech, per_language, documents)
+    speech = speech_of(segments)
+    model = model or fit_languages(speech, per_language)
     rows = speech.withColumn("named", label_language(F.col("target_lang")))
     found = with_languages(rows, model, "target_text", ["seg_uid", "named"])
     kind = (

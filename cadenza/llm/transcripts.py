@@ -152,7 +152,8 @@ def without_rolling(found: DataFrame, min_overlap: int = 5) -> DataFrame:
     longest = F.least(F.size(before), F.size(here))
     fits = F.filter(
         F.when(longest >= min_overlap, F.sequence(F.lit(min_overlap), longest)),
-        lambda k: F.slice(before, F.size(before) - k + 1, k) == F.slice(here, F.lit(1), k),
+        # both ends first, so that a long piece compares whole stretches for few lengths
+        lambda k: (F.get(before, F.size(before) - k) == F.get(here, F.lit(0))) & (F.get(before, F.size(before) - 1) == F.get(here, k - 1)) & (F.slice(before, F.size(before) - k + 1, k) == F.slice(here, F.lit(1), k)),
     )
     cut = F.when(F.col("previous.speaker").eqNullSafe(F.col("speaker")), F.array_max(fits))
     rows = rows.withColumn("cut", F.coalesce(cut, F.lit(0)))
