@@ -26,6 +26,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = HISTORY) -> DataFra
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a log of JSON lines; a log that is not there yet is empty."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return read_jsonl(spark, path, schema) if there else spark.createDataFrame([], schema)
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -89,24 +89,32 @@ def test_quality_of_documents(spark):
     assert got == {(1, "$.b"), (2, "$"), (4, "$")}
 
 
-def test_search_resumes_and_survives_failures():
-    space = search.Space([search.Parameter("a", "float", 0.5, 0.0, 1.0, 0.1), search.Parameter("b", "int", 3, 1, 9, 1), search.Parameter("c", "bool", True)])
-    goal = lambda c: -abs(c["a"] - 0.9) - abs(c["b"] - 7) / 10
-    climber = search.HillClimber(space, seed=4)
-    log = search.search(climber, goal, 60)
-    assert log[0]["source"] == "baseline" and climber.best_score > log[0]["score"] and climber.best_score == max(r["score"] for r in log)
-    again = search.HillClimber(space)
-    again.resume(json.loads(json.dumps(climber.state())))
-    assert again.propose() == climber.propose()
-    calls = []
-
-    def bad(c):
-        calls.append(c)
-        raise RuntimeError("CUDA out of memory" if len(calls) < 3 else "no")
-
-    failed = search.search(search.HillClimber(space), bad, 2)
-    assert [r["status"] for r in failed] == ["failed", "failed"] and len(calls) == 3
-    assert space.parameters[0].coerce(99) == 1.0 and space.parameters[1].coerce(3.4) == 3
+def test_search_resumes_and_survives_failures(spark, tmp_path):
+    dims = spark.createDataFrame([("a", "float", 0.5, 0.0, 1.0, 0.1), ("b", "int", 3.0, 1.0, 9.0, 1.0), ("c", "flag", 1.0, 0.0, 1.0, 1.0)], search.DIMENSIONS)
+    goal = lambda p: 1 - abs(p["a"] - 0.9) - abs(p["b"] - 7) / 10 - (p["c"] != 0)
+    log = str(tmp_path / "log")
+    rows = sorted(search.search(spark, dims, goal, 3, log, batch=12).collect(), key=lambda r: r.trial)
+    assert [r.trial for r in rows] == list(range(36)) and rows[0].source == "baseline" and rows[0].point == {"a": 0.5, "b": 3.0, "c": 1.0}
+    assert max(r.score for r in rows) > rows[0].score
+    assert all(0 <= r.point["a"] <= 1 and 1 <= r.point["b"] <= 9 and r.point["b"] % 1 == 0 and r.point["c"] in (0, 1) for r in rows)
+    trials = spark.createDataFrame(rows, search.TRIALS)
+    again = search.proposals(dims, trials, 40, patience=1000).collect()
+    assert again == search.proposals(dims, trials.orderBy(F.rand()), 40, patience=1000).collect() and {r.source for r in again} == {"random", "neighbour"}
+    assert {r.source for r in search.proposals(dims, trials, 5, patience=0).collect()} == {"random"}
+    best = max(rows, key=lambda r: (r.score, -r.trial)).point
+    assert all(sum(r.point[k] != best[k] for k in best) == 1 for r in again if r.source == "neighbour")
+    capped = search.proposals(dims.where("name <> 'c'"), trials, 40, epsilon=1.0, at_most={"b": "a"}).collect()
+    assert all(r.point["b"] <= r.point["a"] for r in capped)
+
+    def bad(point, calls=[]):  # noqa: B006
+        calls.append(1)
+        raise RuntimeError("CUDA out of memory" if len(calls) == 1 else "broken")
+
+    failed = search.tried([(0, "baseline", {}), (1, "random", {})], bad)
+    assert [r[3] for r in failed] == [None, None] and "broken" in failed[0][4]
+    assert search.standing(spark.createDataFrame(failed, search.TRIALS)).first() == (2, None, None)
+    assert trials.select(search.nearness(F.col("point"), {"a": 0.5, "b": 3.0}, {"a": 1.0, "b": 8.0}).alias("x")).where("x = 1").count() >= 1
+
 
 
 def test_translation_pipeline(spark):
