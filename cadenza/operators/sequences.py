@@ -16,9 +16,17 @@ from pyspark.sql.window import Window
 UNSPLIT = -(2**62)
 
 
-def bucket_of(order: Column, width: int) -> Column:
-    """Bucket number of an integral order value; null order values share one bucket before all others."""
-    return F.coalesce(F.floor(order / F.lit(width)).cast("bigint"), F.lit(UNSPLIT))
+ROWS_WITHOUT = 10_000  # width of buckets, in the second order column, of rows without a first
+
+
+def bucket_of(order: Column, width: int, then: Column | None = None) -> Column:
+    """Bucket number of an integral order value; null order values come in buckets before all others, cut by ``then`` if given."""
+    rest = F.lit(UNSPLIT) if then is None else F.lit(UNSPLIT) + F.coalesce(F.floor(then / F.lit(ROWS_WITHOUT)).cast("bigint"), F.lit(-(2**60)))
+    return F.coalesce(F.floor(order / F.lit(width)).cast("bigint"), rest)
+
+
+def second(order: list[str]) -> Column | None:
+    return F.col(order[1]) if len(order) > 1 else None
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -75,12 +83,12 @@ def chunked_runs(
 ) -> DataFrame:
     """Give each row the order key of the first row of its run, as ``run`` (a struct of the ``order`` columns).
 
-    ``order[0]`` must be integral and is what buckets are cut by; all ``order`` columns together should be unique within a
+    ``order[0]`` must be integral and is what buckets are cut by, ``order[1]`` numeric and what rows without it are cut by; all ``order`` columns together should be unique within a
     key (equal rows fall next to each other and share their run's fate). ``same(prev, cur)`` gets structs of
     ``order + payload`` and says whether ``cur`` continues the run of ``prev``; null counts as no.
     """
     cols = [*order, *payload]
-    rows = df.withColumn("_b", bucket_of(F.col(order[0]), width)).withColumn("_row", F.struct(*cols)).repartition(*keys, "_b")
+    rows = df.withColumn("_b", bucket_of(F.col(order[0]), width, second(order))).withColumn("_row", F.struct(*cols)).repartition(*keys, "_b")
     inside = Window.partitionBy(*keys, "_b").orderBy("_row")
     here = F.struct(*order)
     rows = rows.withColumn("_prev", F.lag("_row").over(inside))
@@ -103,7 +111,7 @@ def chunked_runs(
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], payload: list[str], width: int = 900_000) -> DataFrame:
     """Add ``previous``, the struct of ``order + payload`` of the row before within the key (null for its first row)."""
-    rows = df.withColumn("_b", bucket_of(F.col(order[0]), width)).withColumn("_row", F.struct(*order, *payload)).repartition(*keys, "_b")
+    rows = df.withColumn("_b", bucket_of(F.col(order[0]), width, second(order))).withColumn("_row", F.struct(*order, *payload)).repartition(*keys, "_b")
     carry = (
         rows.groupBy(*keys, "_b")
         .agg(F.max_by("_row", F.struct(*order)).alias("_last"))
@@ -115,9 +123,20 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], payload: lis
     return joined.withColumn("previous", F.coalesce(F.lag("_row").over(inside), F.col("_carry"))).drop("_b", "_row", "_carry")
 
 
+def running_max(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, width: int, included: bool = True) -> DataFrame:
+    """Add ``name``, the greatest ``value`` of the rows before in the key (and of the row itself if ``included``); nulls count for nothing."""
+    rows = df.withColumn("_b", bucket_of(F.col(order[0]), width, second(order))).withColumn("_x", value).repartition(*keys, "_b")
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys, "_b").agg(F.max("_x").alias("_top")).withColumn("_carry", F.max("_top").over(before))
+    carry = carry.select(*[F.col(k).alias(f"r_{k}") for k in [*keys, "_b"]], "_carry")
+    joined = rows.join(carry, null_safe(rows, carry, [*keys, "_b"])).drop(*[f"r_{k}" for k in [*keys, "_b"]])
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if included else -1)
+    return joined.withColumn(name, F.greatest(F.max("_x").over(inside), F.col("_carry"))).drop("_b", "_x", "_carry")
+
+
 def ordered_rank(df: DataFrame, keys: list[str], order: list[str], width: int, name: str = "rank", count: str | None = None) -> DataFrame:
     """Position (0, 1, ...) of each row within its key by ``order``, counted bucket by bucket; ``count`` adds the key's size."""
-    rows = df.withColumn("_b", bucket_of(F.col(order[0]), width)).repartition(*keys, "_b")
+    rows = df.withColumn("_b", bucket_of(F.col(order[0]), width, second(order))).repartition(*keys, "_b")
     by_key = Window.partitionBy(*keys).orderBy("_b")
     sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

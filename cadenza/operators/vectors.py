@@ -9,17 +9,17 @@ from cadenza.functions import arrays
 from cadenza.sources.shared import written
 
 
-def _sums(df: DataFrame, label: str, vector: str, salts: int) -> DataFrame:
-    """Element sums per (label, position), added up in ``salts`` parts first so that a hot label is no single task's work."""
-    parts = df.select(label, F.pmod(F.xxhash64(vector), F.lit(salts)).alias("_salt"), F.posexplode(vector).alias("_i", "_x"))
+def _sums(df: DataFrame, label: str, vector: str) -> DataFrame:
+    """Element sums per (label, position). Each task adds up its own rows first, so of a hot label one row a task and position is shuffled."""
+    parts = df.select(label, F.posexplode(vector).alias("_i", "_x"))
     return parts.groupBy(label, "_i").agg(F.sum(F.col("_x").cast("double")).alias("_s"))
 
 
-def centroids(df: DataFrame, label: str, vector: str, salts: int = 32) -> DataFrame:
+def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     """Mean vector per label: label, centroid, n. Null labels form one label; null vectors are left out; partial sums are taken before the shuffle."""
     rows = df.where(F.col(vector).isNotNull())
     counts = rows.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("n"))
-    sums = _sums(rows, label, vector, salts).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda p: p["_s"]).alias("_v"))
+    sums = _sums(rows, label, vector).groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_s"))), lambda p: p["_s"]).alias("_v"))
     return sums.join(counts, F.col(label).eqNullSafe(F.col("_l"))).select(label, F.transform("_v", lambda v: v / F.col("n")).alias("centroid"), "n")
 
 
@@ -30,7 +30,7 @@ def mean_pair_cosine(df: DataFrame, label: str, vector: str) -> DataFrame:
     """
     units = df.select(label, arrays.unit(F.col(vector)).alias("_u"), (arrays.norm(F.col(vector)) >= 1e-9).alias("_solid"))
     counts = units.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("n"), F.count_if("_solid").alias("m"))
-    size = _sums(units, label, "_u", 32).groupBy(label).agg(F.sum(F.col("_s") * F.col("_s")).alias("_q"))
+    size = _sums(units, label, "_u").groupBy(label).agg(F.sum(F.col("_s") * F.col("_s")).alias("_q"))
     joined = size.join(counts, F.col(label).eqNullSafe(F.col("_l"))).where("n >= 2")
     pairs = F.col("n") * (F.col("n") - 1)
     return joined.select(label, (pairs / 2).cast("bigint").alias("pairs"), ((F.col("_q") - F.col("m")) / pairs).alias("cohesion"))

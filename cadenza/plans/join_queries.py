@@ -103,12 +103,17 @@ def join_positional(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT seg_uid, workspace_id, render_key FROM timeline_segment), old AS (SELECT DISTINCT render_key FROM s WHERE seg_uid % 2 = 0)
-    SELECT s.seg_uid, s.render_key IN (SELECT render_key FROM old WHERE render_key IS NOT NULL) AND s.render_key IS NOT NULL AS reused FROM s WHERE seg_uid % 2 = 1"""
+    f"""WITH {LATEST}, m AS (SELECT (min(epoch_us(ingested_at)) + max(epoch_us(ingested_at))) // 2 AS mid FROM timeline_segment),
+    old AS (SELECT DISTINCT render_key FROM timeline_segment, m WHERE epoch_us(ingested_at) <= mid AND render_key IS NOT NULL)
+    SELECT l.seg_uid, o.render_key IS NOT NULL AS reused FROM latest l LEFT JOIN old o ON l.render_key = o.render_key"""
 )
 def join_reuse(spark, d):
-    rows = table(spark, d, "timeline_segment").select("seg_uid", "workspace_id", "render_key").distinct()
-    return lineage.reuse(rows.where("seg_uid % 2 = 1"), rows.where("seg_uid % 2 = 0"), "render_key").select("seg_uid", "reused")
+    """Segments as last delivered whose rendering was there when half of the time of deliveries had passed."""
+    at = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    rows = table(spark, d, "timeline_segment")
+    middle = rows.agg(F.floor((F.min(at) + F.max(at)) / 2).alias("mid"))  # one row
+    then = rows.select("render_key", at.alias("at")).join(F.broadcast(middle), F.col("at") <= F.col("mid"))
+    return lineage.reuse(latest(spark, d, "render_key"), then, "render_key").select("seg_uid", "reused")
 
 
 @query(

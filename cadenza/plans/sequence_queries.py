@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from cadenza.functions import scores
 from cadenza.operators import quality, utterances
 from cadenza.operators.segments import millis, usable_segments
-from cadenza.operators.sequences import chunked_runs, continuous_periods, evenly_spaced, exact_quantiles, ordered_rank, with_previous
+from cadenza.operators.sequences import chunked_runs, continuous_periods, evenly_spaced, exact_quantiles, ordered_rank, running_max, with_previous
 from cadenza.plans.join_queries import LATEST, latest
 from cadenza.plans.problems import USABLE
 from cadenza.plans.registry import Registry
@@ -99,11 +99,10 @@ def win_bridge_gaps(spark, d):
 )
 def win_running_best(spark, d):
     rows = table(spark, d, "iteration_record").groupBy("run_id", "iteration").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("run_id").orderBy("iteration")
-    rows = rows.withColumn("before", F.max("score").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = running_max(rows, ["run_id"], ["iteration"], F.col("score"), "before", 10_000, included=False)
     rows = rows.withColumn("better", F.coalesce(F.col("score") > F.col("before"), F.col("score").isNotNull()))
-    last = F.max(F.when(F.col("better"), F.col("iteration"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("run_id", "iteration", F.greatest("before", "score").alias("best_so_far"), "better", (F.col("iteration") - last).alias("stale_for"))
+    rows = running_max(rows, ["run_id"], ["iteration"], F.when(F.col("better"), F.col("iteration")), "last", 10_000)
+    return rows.select("run_id", "iteration", F.greatest("before", "score").alias("best_so_far"), "better", (F.col("iteration") - F.col("last")).alias("stale_for"))
 
 
 @query(
@@ -257,7 +256,12 @@ def dq_profile_severity(spark, d):
     return quality.by_severity(quality.issues(rows, ["workspace_id", "speaker", "profile_id"], quality.profile_rules()))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT record_id, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN json_keys(payload) END AS k FROM raw_record WHERE kind = 'timeline'),
+    q AS (SELECT record_id, k, unnest(['schema_version', 'language_pair', 'workspace_id', 'segments']) AS name FROM p WHERE k IS NOT NULL)
+    SELECT record_id, 'error' AS severity, '$' AS path, 'expected object' AS message FROM p WHERE k IS NULL
+    UNION ALL SELECT record_id, 'error', '$.' || name, 'missing required key ' || name FROM q WHERE NOT list_contains(k, name)"""
+)
 def dq_required_keys(spark, d):
     rows = table(spark, d, "raw_record").where("kind = 'timeline'")
     return quality.key_issues(rows, ["record_id"], "payload", ["schema_version", "language_pair", "workspace_id", "segments"])
@@ -273,12 +277,12 @@ def agg_stage_counters(spark, d):
 
 @query(
     """WITH l AS (SELECT DISTINCT workspace_id, row_id, avg_logprob, source_text FROM transcript_segment WHERE avg_logprob IS NOT NULL)
-    SELECT workspace_id, avg(avg_logprob) AS mean_logprob, count_if(avg_logprob < -0.7) AS n_low, arg_max(row_id, (avg_logprob, -row_id)) AS best_row, mode(round(avg_logprob, 1)) IS NOT NULL AS has_mode FROM l GROUP BY workspace_id"""
+    SELECT workspace_id, avg(avg_logprob) AS mean_logprob, count_if(avg_logprob < -0.7) AS n_low, arg_max(row_id, (avg_logprob, -row_id)) AS best_row FROM l GROUP BY workspace_id"""
 )
 def top_best_decode(spark, d):
     rows = table(spark, d, "transcript_segment").where("avg_logprob is not null").select("workspace_id", "row_id", "avg_logprob").distinct()
     return rows.groupBy("workspace_id").agg(
-        F.avg("avg_logprob").alias("mean_logprob"), F.count_if(F.col("avg_logprob") < -0.7).alias("n_low"), F.max_by("row_id", F.struct("avg_logprob", -F.col("row_id"))).alias("best_row"), F.lit(True).alias("has_mode")
+        F.avg("avg_logprob").alias("mean_logprob"), F.count_if(F.col("avg_logprob") < -0.7).alias("n_low"), F.max_by("row_id", F.struct("avg_logprob", -F.col("row_id"))).alias("best_row")
     )
 
 

@@ -55,15 +55,17 @@ def win_gate_envelope(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT user_id, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS t, avg(value) AS level FROM events WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT user_id, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS t, avg(value) AS level FROM events GROUP BY ALL),
-    p AS (SELECT a.user_id, a.level AS a, b.level AS b FROM a JOIN b USING (user_id, t))
-    SELECT user_id, CASE WHEN count(*) >= 3 AND least(stddev_pop(a), stddev_pop(b)) >= 1e-9 THEN (covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) + 1) / 2 END AS score, count(*) AS n FROM p GROUP BY user_id"""
+    """WITH p AS (SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS t, min(value) AS a, max(value) AS b FROM events GROUP BY ALL),
+    s AS (SELECT DISTINCT user_id, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS t FROM events WHERE event_type = 'purchase'),
+    q AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = p.user_id AND p.t >= s.t AND p.t < s.t + 2))
+    SELECT user_id, CASE WHEN count(*) >= 3 AND least(stddev_pop(a), stddev_pop(b)) >= 1e-9 THEN (covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) + 1) / 2 END AS score, count(*) AS n FROM q GROUP BY user_id"""
 )
 def agg_ambience(spark, d):
-    e = table(spark, d, "events").withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).cast("bigint"))
-    level = lambda rows: rows.groupBy("user_id", "t").agg(F.avg("value").alias("level"))
-    none = e.select("user_id", F.col("t").alias("r_start"), F.col("t").alias("r_end")).where("false")
-    return signals.ambience(level(e.where("event_id % 2 = 0")), level(e), none, "user_id")
+    """The least and the greatest value of an hour stand for two signals, the two hours from a purchase for speech."""
+    e = table(spark, d, "events").withColumn("t", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("bigint"))
+    level = lambda f: e.groupBy("user_id", "t").agg(f("value").alias("level"))
+    speech = e.where("event_type = 'purchase'").select("user_id", F.col("t").alias("r_start"), (F.col("t") + 2).alias("r_end")).distinct()
+    return signals.ambience(level(F.min), level(F.max), speech, "user_id")
 
 
 @query(

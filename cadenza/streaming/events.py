@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.sources.shared import shared_folder
+from cadenza.sources.shared import own_folder
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, per_trigger: int | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", each: Calla
     spark = stream.sparkSession
     import uuid
 
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    base = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}-state")
     if each or mode != "append":
         writer = writer.foreachBatch(each or (lambda df, _: df.write.mode("overwrite").parquet(base)))

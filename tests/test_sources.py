@@ -32,11 +32,11 @@ def test_history_log(spark, tmp_path):
 
 
 def test_glossary_shapes(spark, tmp_path):
-    put(tmp_path / "g" / "1.json", {"Peter Parker": {"action": "preserve", "replacement": "x"}, "bad": {"action": "delete"}})
+    put(tmp_path / "g" / "1.json", {"Marla Quint": {"action": "preserve", "replacement": "x"}, "bad": {"action": "delete"}})
     put(tmp_path / "g" / "2.json", {"entities": [{"original": "Mars", "replacement": "Marte", "action": "replace"}, {"original": "Mars", "replacement": "M", "action": "replace"}]})
     put(tmp_path / "g" / "3.json", "broken")
     got = {r.term: (r.action, r.replacement) for r in files.read_glossary(spark, str(tmp_path / "g")).collect()}
-    assert got == {"Peter Parker": ("preserve", None), "Mars": ("replace", "M")}
+    assert got == {"Marla Quint": ("preserve", None), "Mars": ("replace", "M")}
 
 
 def test_profiles_and_sizes(spark, tmp_path):
