@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import join_queries, problems, sequence_queries, signal_queries, stream_queries, text_queries
+from cadenza.plans import join_queries, problems, record_queries, sequence_queries, signal_queries, stream_queries, text_queries
 
-MODULES = [problems, text_queries, join_queries, sequence_queries, signal_queries, stream_queries]
+MODULES = [problems, text_queries, join_queries, sequence_queries, record_queries, signal_queries, stream_queries]
 
 
 def queries():
