@@ -118,15 +118,28 @@ def any_run(encodings: tuple[str, ...]) -> re.Pattern:
     return re.compile("|".join(utf8_runs(e)[0].pattern for e in encodings))
 
 
+_AROUND = re.compile(r"[A-Za-z]?[^\x00-\x7f]+[A-Za-z]?")
+
+
 def clean_looking(text: str) -> bool:
     """Nothing lost, no UTF-8 read as a western encoding, no inverted case, words of two scripts or signs inside words."""
-    return "\ufffd" not in text and not _UNCLEAN.search(text) and not any_run(("cp1252", "cp437", "cp850", "mac_roman")).search(text)
+    if "\ufffd" in text:
+        return False
+    near = text if len(_CYRILLIC.findall(text)) * 8 > len(text) else " ".join(_AROUND.findall(text))  # signs stand next to other characters than ASCII
+    return not _UNCLEAN.search(near) and not any_run(("cp1252", "cp437", "cp850", "mac_roman")).search(near)
+
 
+class Code(dict):
+    """Translation to one byte a character; what is not at home becomes an escape of three bytes, the last two spread so that
+    neighbours in Unicode, such as box drawings, have nothing in common."""
 
-def escape(c: str) -> str:
-    """Three bytes, the last two spread so that neighbours in Unicode, such as box drawings, have nothing in common."""
-    h = ord(c) * 40503 & 0xFFFF
-    return "\xff" + chr(h >> 8) + chr(h & 255)
+    def __init__(self, home: list[str]):
+        super().__init__({i: chr(i) for i in range(128)} | {ord(c): chr(128 + i) for i, c in enumerate(home)})
+
+    def __missing__(self, c: int) -> str:
+        h = c * 40503 & 0xFFFF
+        self[c] = out = "\xff" + chr(h >> 8) + chr(h & 255)
+        return out
 
 
 class Dictionaries:
@@ -141,7 +154,7 @@ class Dictionaries:
         import zstandard as z
 
         self.alphabet: dict[str, set[str]] = {}
-        self.code: dict[str, dict[str, str]] = {}
+        self.code: dict[str, Code] = {}
         self.by: dict[str, z.ZstdCompressor] = {}
         for lang, texts in samples.items():
             home = (alphabets or {}).get(lang)
@@ -149,7 +162,7 @@ class Dictionaries:
                 home = frequent(Counter(c for t in texts for c in set(_HIGH.findall(t))), len(texts), common)
             self.alphabet[lang] = set(home)
             capitals = [c.upper() for c in home if len(c.upper()) == 1 and c.upper() not in self.alphabet[lang]]
-            self.code[lang] = {c: chr(128 + i) for i, c in enumerate([*home, *capitals][:126])}
+            self.code[lang] = Code([*home, *capitals][:126])
             raw = self.bytes_of("\n".join(texts), lang)[:size]
             if len(raw) >= 64:
                 d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -160,15 +173,14 @@ class Dictionaries:
     def bytes_of(self, text: str, lang: str) -> bytes:
         if text.isascii():
             return text.encode("ascii")
-        code = self.code.get(lang, {})
-        return _HIGH.sub(lambda m: code.get(m[0]) or escape(m[0]), text).encode("latin-1")
+        return text.translate(self.code.get(lang) or self.code.setdefault(lang, Code([]))).encode("latin-1")
 
     def cost(self, text: str, lang: str) -> int:
         # what no dictionary says of short texts: a sign or a change of case inside a word costs a byte, a change of script,
         # a lone letter or a word of accented letters only two
         if text.isascii():
             return len(self.by.get(lang, self.plain).compress(text.encode("ascii")))
-        odd = 2 * len(_MIXED.findall(text)) + len(_FLIP.findall(text)) + len(_SIGN.findall(text)) + 2 * len(_LONE.findall(text))
+        odd = (2 * len(_MIXED.findall(text)) if _CYRILLIC.search(text) else 0) + len(_FLIP.findall(text)) + len(_SIGN.findall(text)) + 2 * len(_LONE.findall(text))
         return len(self.by.get(lang, self.plain).compress(self.bytes_of(text, lang))) + odd
 
     def least(self, text: str, langs: set[str], document: str = "") -> int:
@@ -202,21 +214,22 @@ def frequent(counts: Counter, n: int, common: float) -> list[str]:
     return [c for c, k in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if k >= max(2, common * n)]
 
 
+def decoded(segment: str, step: str) -> str:
+    """Text of a segment after one step."""
+    true, _, wrong = step.partition(" read as ")
+    return segment.translate(swap(wrong, true)) if true != "utf-8" else from_wide(segment, wrong) if wrong in WIDE else from_utf8(segment, wrong)
+
+
 def decodings(segment: str) -> dict[str, str]:
     """Text of a segment after each step that changes it."""
-    out: dict[str, str] = {}
-    for e in UTF8_READ_AS:
-        if utf8_runs(e)[0].search(segment):
-            out[f"utf-8 read as {e}"] = from_utf8(segment, e)
-    if _EAST.search(segment):
-        out |= {f"utf-8 read as {e}": from_wide(segment, e) for e in WIDE}
-    for wrong, true in SWAPS:
-        out[f"{true} read as {wrong}"] = segment.translate(swap(wrong, true))
-    return {step: t for step, t in out.items() if t != segment}
+    steps = [f"utf-8 read as {e}" for e in UTF8_READ_AS if utf8_runs(e)[0].search(segment)]
+    steps += [f"utf-8 read as {e}" for e in WIDE if _EAST.search(segment)]
+    steps += [f"{true} read as {wrong}" for wrong, true in SWAPS]
+    return {step: t for step in steps if (t := decoded(segment, step)) != segment}
 
 
 def russian(text: str) -> bool:
-    return len(_CYRILLIC.findall(text)) > len(_LATIN.findall(text))
+    return bool(_CYRILLIC.search(text)) and len(_CYRILLIC.findall(text)) > len(_LATIN.findall(text))
 
 
 def segments_of(text: str) -> list[str]:
@@ -252,29 +265,38 @@ def repair(text: str | None, label: str | None, dicts: Dictionaries, depth: int
     def saves(i: int, t: str) -> int:
         return price(i) - dicts.least(t, langs[i], lang)
 
+    def options(i: int) -> list[tuple[str, int, int]]:
+        """(step, bytes saved, signs gone) of the decodings that save anything; none for a segment without signs."""
+        signs = dicts.strange(now[i], lang)
+        told: dict[str, tuple[int, int]] = {}
+        out = []
+        for step, got in decodings(now[i]).items() if signs else ():
+            if got not in told:
+                told[got] = (saves(i, got), signs - dicts.strange(got, lang))
+            if told[got][0] > 0:
+                out.append((step, *told[got]))
+        return out
+
+    open_ = {i: options(i) for i in now}
     while len(chain) < depth:
         total: Counter = Counter()
         left: Counter = Counter()
-        for i, t in now.items():
-            if dicts.strange(t, lang):
-                told: dict[str, int] = {}
-                for step, got in decodings(t).items():
-                    if got not in told:
-                        told[got] = saves(i, got)
-                    if told[got] > 0:
-                        total[step] += told[got]
-                        left[step] -= dicts.strange(t, lang) - dicts.strange(got, lang)
+        for found in open_.values():
+            for step, more, gone in found:
+                total[step] += more
+                left[step] -= gone
         net = {step: n - (UTF8_COST if step.startswith("utf-8") else SWAP_COST) for step, n in total.items()}
         step = min(net, key=lambda x: (-net[x], left[x], x), default=None)
         if step is None or net[step] <= 0:
             break
         chain.append(step)
         for i, t in now.items():  # also where no sign shows: wrong characters may all be at home in the language
-            got = decodings(t).get(step)
-            if got is not None and (more := saves(i, got)) > 0:
+            got = decoded(t, step)
+            if got != t and (more := saves(i, got)) > 0:
                 now[i] = got
                 cost[i] -= more
                 gained += more
+                open_[i] = options(i)
     for i, t in now.items():
         for c in cited[i]:
             t = t.replace("\x00", c, 1)
