@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,22 +97,37 @@ def duration(text: Column, lang: Column, rate: Column | None = None, counted: Co
     return speech + pause_budget(text, speech)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. A lambda that names a column expression computes it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def collapse_stutters(tokens: Column) -> Column:
     """Runs of three or more equal tokens (any case) become their first; pairs stay."""
-    low = F.transform(tokens, lambda t: F.lower(t))
-    at = lambda i: F.get(low, i)
-    repeated = lambda i: (at(i) == at(i - 1)) & (F.coalesce(at(i) == at(i - 2), F.lit(False)) | F.coalesce(at(i) == at(i + 1), F.lit(False)))
-    return F.filter(tokens, lambda t, i: ~F.coalesce((i > 0) & repeated(i), F.lit(False)))
 
+    def kept(words: Column, low: Column) -> Column:
+        at = lambda i: F.get(low, i)
+        repeated = lambda i: (at(i) == at(i - 1)) & (F.coalesce(at(i) == at(i - 2), F.lit(False)) | F.coalesce(at(i) == at(i + 1), F.lit(False)))
+        return F.filter(words, lambda t, i: ~F.coalesce((i > 0) & repeated(i), F.lit(False)))
 
-def clean_transcript(text: Column) -> Column:
-    """Drop control characters, tokens with U+FFFD with the piece glued to them, stutters; collapse blanks."""
-    plain = F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f]", "")
-    tokens = F.split(plain, " ")
+    return once(tokens, lambda words: once(F.transform(words, lambda t: F.lower(t)), lambda low: kept(words, low)))
+
+
+def drop_corrupt(tokens: Column) -> Column:
+    """Without the tokens that hold U+FFFD, those before one that begins and those after one that ends with it."""
     bad = lambda t: F.contains(t, F.lit("�"))
     here = lambda i: F.coalesce(F.get(tokens, i), F.lit(""))
-    kept = F.filter(tokens, lambda t, i: ~(bad(t) | F.startswith(here(i + 1), F.lit("�")) | ((i > 0) & F.endswith(here(i - 1), F.lit("�")))))
-    whole = F.when(F.contains(plain, F.lit("�")), F.array_join(kept, " ")).otherwise(plain)
+    return F.filter(tokens, lambda t, i: ~(bad(t) | F.startswith(here(i + 1), F.lit("�")) | ((i > 0) & F.endswith(here(i - 1), F.lit("�")))))
+
+
+def clean_transcript(text: Column) -> Column:
+    """Drop control characters, tokens with U+FFFD with the piece glued to them, stutters; collapse blanks.
+
+    Time grows in proportion to the length of a text: arrays are built once for each text, not for each token.
+    """
+    plain = F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f]", "")
+    sound = lambda p: F.array_join(once(F.split(p, " "), drop_corrupt), " ")
+    whole = once(plain, lambda p: F.when(F.contains(p, F.lit("�")), sound(p)).otherwise(p))
     words = F.filter(F.split(whole, r"\s+"), lambda w: w != "")
     return F.array_join(collapse_stutters(words), " ")
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,15 @@ def test_clean_transcript(spark, said, want):
     assert one(spark, text.clean_transcript(F.lit(said))) == want
 
 
+def test_clean_transcript_of_a_long_text(spark):
+    """In proportion to the tokens: four hundred of them took a minute while each token split the text again."""
+    said, want = "one two Two TWO x� �y four " * 60, "one two four " * 60
+    df = spark.createDataFrame([(said,)], "t string")  # parts of a literal would be computed beforehand
+    began = time.monotonic()
+    assert df.select(text.clean_transcript(F.col("t"))).first()[0] == want.strip()
+    assert time.monotonic() - began < 15
+
+
 @pytest.mark.parametrize(("said", "lang", "want"), [("Você está aqui", "pt", "Está aqui"), ("Bem, estou aqui", "pt", "Estou aqui"), ("Bem, olha, eu sei", "pt-BR", "Sei"), ("Aqueça Marte.", "pt", None), ("I am", "en", None)])
 def test_condense(spark, said, lang, want):
     assert one(spark, text.condense(F.lit(said), F.lit(lang))) == want
